@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch that carries texts; bounds what a Python worker holds at once.
 TEXT_ROWS_PER_BATCH = 256
 #: Rows that one group of a ranking window may reach on average before it is split further.
-ROWS_PER_SALT = 20_000
+ROWS_PER_SALT = 5_000
 
 _own_folder: str | None = None
 

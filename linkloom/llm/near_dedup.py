@@ -1,23 +1,329 @@
-"""MinHash near-duplicate detection by an inverted join on signature coordinates."""
+"""MinHash near-duplicate detection by an inverted join on signature coordinates.
+
+1. Every whole text becomes the set of its distinct word shingles, a fingerprint of that set and a signature. Equal sets
+   are one node from here on, however many copies there are.
+2. Nodes are posted under their (coordinate, value) pairs. Two signatures that agree on at least `matches` of the posting
+   coordinates must share one of the `coordinates - matches + 1` rarest pairs of each, so only those prefixes are joined,
+   and what hundreds of unlike documents share is skipped.
+3. In every list of postings the node with the most common values is the centre; each node is compared with the centres of
+   its lists, links are confirmed on the full sets, and components are formed. No list is expanded into all its pairs.
+4. What may be missing are links between nodes of a list that are still in different components. These are counted in
+   blocks: signatures are compared inside tasks, a pair only where it first meets, and those over the threshold of all
+   coordinates are confirmed on the full sets. Then components are formed again.
+
+A link of similarity 0.85 is missed where its signatures agree on fewer than 14 of 32 or 84 of 128 coordinates: a chance of
+less than 1e-7. Everything that is reported is confirmed on whole sets.
+
+Defined results: null and empty texts have no shingles and no links; fewer words than a shingle make one shingle; repeated
+rows and rows that share a doc_id share a component; a null doc_id has a null component and is kept; an empty table gives
+no rows; columns besides doc_id and text are not read.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from linkloom.llm.common import WordHashes, hashed, lower_words, mixed, shingles
+from linkloom.llm.common import WordHashes, hashed, lower_words, mixed, shingles, small_text_batches, written
 
-COORDINATES = 32
+COORDINATES, POSTED = 128, 32
+POSTED_MATCHES, ALL_MATCHES = 14, 84
+SHINGLE = 5
+NUMERATOR, DENOMINATOR = 85, 100
+BLOCK = 1000
+_WORDS_AT_ONCE = 400_000
+_ONE = np.dtype([("posted", "<u4", POSTED), ("more", "<u2", COORDINATES - POSTED)])
 
 
-def multipliers(coordinates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _functions(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 2**63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, coordinates, dtype=np.uint64)
+    return rng.integers(0, 2**32, COORDINATES, dtype=np.uint64).astype(np.uint32), rng.integers(0, 2**31, COORDINATES, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def signature(members: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest 32-bit value of each of the hash functions over the set's members, in blocks of bounded size."""
-    out = np.full(len(a), np.uint32(0xFFFFFFFF), dtype=np.uint32)
-    for lo in range(0, len(members), 4096):
-        part = members[lo : lo + 4096]
-        out = np.minimum(out, ((part[None, :] * a[:, None] + b[:, None]) >> np.uint64(32)).min(axis=1).astype(np.uint32))
+def signatures(members: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For every run of members (64-bit hashes) that begins at starts, the least value of each hash function."""
+    flip, factor = _functions()
+    x = (members >> np.uint64(32)).astype(np.uint32)
+    out = np.empty(len(starts), dtype=_ONE)
+    for k in range(COORDINATES):
+        least = np.minimum.reduceat((x ^ flip[k]) * factor[k], starts)
+        if k < POSTED:
+            out["posted"][:, k] = least
+        else:
+            out["more"][:, k - POSTED] = least >> np.uint32(16)
     return out
+
+
+def _sets(texts: list[str | None], hashes: WordHashes, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, sorted distinct shingle hashes) of every text with words; texts are hashed together up to a number of words."""
+    factors = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(5).integers(0, 2**62, size)]
+    run: list[tuple[int, list[bytes]]] = []
+
+    def flush() -> Iterator[tuple[int, np.ndarray]]:
+        if not run:
+            return
+        flat = hashed([w for _, words in run for w in words], hashes)
+        n = len(flat) - size + 1
+        if n > 0:
+            acc = flat[:n] * factors[0]
+            for i in range(1, size):
+                acc += flat[i : i + n] * factors[i]
+            acc = mixed(acc)
+        at = 0
+        for place, words in run:
+            if len(words) >= size:
+                part = np.sort(acc[at : at + len(words) - size + 1])
+                keep = np.empty(len(part), dtype=bool)
+                keep[0] = True
+                np.not_equal(part[1:], part[:-1], out=keep[1:])
+                yield place, part[keep]
+            else:
+                yield place, shingles(flat[at : at + len(words)], size)
+            at += len(words)
+        run.clear()
+
+    held = 0
+    for place, text in enumerate(texts):
+        if words := lower_words(text):
+            if held + len(words) > _WORDS_AT_ONCE:
+                yield from flush()
+                held = 0
+            run.append((place, words))
+            held += len(words)
+    yield from flush()
+
+
+def shingle_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, print1, print2 (of the set), posted (array<int>), sig (binary) for every document."""
+    small_text_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            n, print1, print2 = (np.zeros(len(texts), dtype=t) for t in (np.int64, np.uint64, np.uint64))
+            sig: list[bytes | None] = [None] * len(texts)
+            posted: list[np.ndarray | None] = [None] * len(texts)
+            places, parts, held = [], [], 0
+
+            def flush() -> None:
+                if not places:
+                    return
+                flat = np.concatenate(parts)
+                starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+                all_sig = signatures(flat, starts)
+                print1[places] = np.add.reduceat(flat, starts)
+                print2[places] = np.bitwise_xor.reduceat(mixed(flat + np.uint64(0x632BE59BD9B4E019)), starts)
+                n[places] = [len(p) for p in parts]
+                for place, one in zip(places, all_sig, strict=True):
+                    sig[place], posted[place] = one.tobytes(), one["posted"].view(np.int32)
+                places.clear()
+                parts.clear()
+
+            for place, members in _sets(texts, hashes, size):
+                places.append(place)
+                parts.append(members)
+                held += len(members)
+                if held > _WORDS_AT_ONCE:
+                    flush()
+                    held = 0
+            flush()
+            columns = [batch.column(0), pa.array(n), pa.array(print1.view(np.int64)), pa.array(print2.view(np.int64)), pa.array(posted, pa.list_(pa.int32())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print1", "print2", "posted", "sig"])
+
+    schema = "doc_id long, n_shingles long, print1 long, print2 long, posted array<int>, sig binary"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a["posted"] == b["posted"]).sum(axis=-1) + (a["more"] == b["more"]).sum(axis=-1)
+
+
+@F.pandas_udf(IntegerType())
+def _matches(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = (np.frombuffer(b"".join(s.tolist()), dtype=_ONE) for s in (a, b))
+    return pd.Series(_agree(x, y).astype(np.int32))
+
+
+def near_sizes(a: str, b: str) -> Column:
+    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """key, coordinate, node, n, sig, mask, weight: every node under its rarest keys that others have too. nodes: node, n, posted, sig."""
+    keys = nodes.select("node", F.posexplode("posted").alias("coordinate", "value"))
+    key = F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    keys = keys.select("node", "coordinate", key.alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    of_node = Window.partitionBy("node")
+    ranked = keys.join(shared, "key").withColumns({"place": F.row_number().over(of_node.orderBy("df", "key")), "common": F.count("*").over(of_node), "weight": F.sum("df").over(of_node)})
+    prefix = POSTED - POSTED_MATCHES + 1
+    chosen = ranked.where(F.col("place") <= prefix - (POSTED - F.col("common")))
+    bit = F.expr("shiftleft(1L, coordinate)")
+    chosen = chosen.withColumn("mask", F.sum(bit).over(of_node)).select("key", "coordinate", "node", "mask", "weight")
+    return chosen.join(nodes.select("node", "n", "sig"), "node")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-needed")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi"), "dedup-texts")
+    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last, last_set = WordHashes(), None, np.empty(0, np.uint64)
+        for batch in batches:
+            a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
+            sets = dict(_sets(text_b, hashes, size))
+            keep = []
+            for i in range(len(a)):
+                if text_a[i] != last:
+                    last, last_set = text_a[i], dict(_sets([text_a[i]], hashes, size)).get(0, np.empty(0, np.uint64))
+                other = sets.get(i, np.empty(0, np.uint64))
+                both = len(np.intersect1d(last_set, other, assume_unique=True))
+                if both and DENOMINATOR * both >= NUMERATOR * (len(last_set) + len(other) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+
+    joined = pairs.join(of("b"), "b").join(of("a"), "a")
+    return written(joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct(), "dedup-links")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its least reachable node) for every node with a link: alternating large and small stars until nothing moves.
+
+    A node's neighbours are only ever aggregated and joined, so a node of any degree is spread over tasks."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    seen = None
+    while True:
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(floor.select("u", F.col("m").alias("v")))
+        edges = written(small.distinct(), "dedup-stars")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seen:
+            break
+        seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
+    """Complete groups of rows with equal values in the first `by` columns; rows come sorted."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+        change = np.zeros(len(held[0]) - 1, dtype=bool)
+        for x in held[:by]:
+            change |= x[1:] != x[:-1]
+        ends = np.flatnonzero(change) + 1
+        for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True) if len(ends) else ():
+            yield [x[lo:hi] for x in held]
+        if len(ends):
+            held = [x[ends[-1] :] for x in held]
+    if held is not None:
+        yield held
+
+
+def rest_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a list and may be links, each found in blocks of bounded size."""
+    marked = posts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    by_component = marked.groupBy("key", "component").agg(F.count("*").alias("c"))
+    lists = by_component.groupBy("key").agg(F.count("*").alias("components"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("largest")).where("components > 1")
+    lists = lists.select("key", F.col("largest.component").alias("main"), F.ceil(F.col("largest.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("largest.c")) / BLOCK).cast("int").alias("rests"))
+    rows = marked.join(lists, "key")
+    is_main = F.col("component") == F.col("main")
+    block = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    rows = rows.withColumn("block", block)
+    part = lambda kind, i, j, side: F.struct(kind.cast("int").alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    whole = F.array(part(F.lit(2), F.lit(0), F.lit(0), F.lit(-1)))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: part(F.lit(0), F.col("block"), r, F.lit(0)))
+    of_rest = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: part(F.lit(0), m, F.col("block"), F.lit(1))),
+        F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: part(F.lit(1), F.least(r, F.col("block")), F.greatest(r, F.col("block")), F.when(r == F.col("block"), F.lit(-1)).when(r < F.col("block"), F.lit(1)).otherwise(F.lit(0)))),
+    )
+    # A rest block meets itself with side -1 and each other block with sides 0 and 1.
+    dealt = rows.withColumn("part", F.explode(F.when((F.col("mains") == 1) & (F.col("rests") == 1), whole).when(is_main, of_main).otherwise(of_rest)))
+    dealt = dealt.select("key", "part.kind", "part.i", "part.j", "part.side", "coordinate", "node", "component", "n", "mask", "sig")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for _, _, _, _, side, coordinate, node, component, n, mask, sig in _groups(batches, 4):
+            if len(node) < 2:
+                continue
+            s = np.frombuffer(b"".join(sig.tolist()), dtype=_ONE)
+            here = np.int64(1) << coordinate.astype(np.int64)[0]
+            bits = np.int64(1) << np.arange(POSTED, dtype=np.int64)
+            for x in range(len(node) - 1):
+                y = np.arange(x + 1, len(node))
+                ok = (component[y] != component[x]) & (DENOMINATOR * np.minimum(n[y], n[x]) >= NUMERATOR * np.maximum(n[y], n[x]))
+                if side[x] >= 0:
+                    ok &= side[y] != side[x]
+                y = y[ok]
+                if not len(y):
+                    continue
+                y = y[_agree(s[y], s[x]) >= ALL_MATCHES]
+                # Only the list of the first key that both are posted under reports the pair.
+                common = ((s["posted"][y] == s["posted"][x]) @ bits) & mask[y] & mask[x]
+                y = y[(common & -common) == here]
+                if len(y):
+                    out.append((np.minimum(node[y], node[x]), np.maximum(node[y], node[x])))
+        a, b = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    by = ["key", "kind", "i", "j"]
+    spread = dealt.repartition(*by).sortWithinPartitions(*by)
+    return spread.mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document."""
+    sets = written(shingle_table(docs), "dedup-sets")
+    nodes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("posted").alias("posted"), F.first("sig").alias("sig"))
+    nodes = written(nodes.withColumnRenamed("n_shingles", "n"), "dedup-nodes")
+    posts = written(postings(nodes.select("node", "n", "posted", "sig")), "dedup-posts")
+    centres = posts.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"), "n", "sig")).alias("c"))
+    centres = centres.select("key", (-F.col("c.order")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.sig").alias("centre_sig"))
+    near = posts.join(centres, "key").where((F.col("node") != F.col("centre")) & near_sizes("n", "centre_n"))
+    near = near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "sig", "centre_sig").dropDuplicates(["a", "b"])
+    star = confirmed(written(near.where(_matches("sig", "centre_sig") >= ALL_MATCHES).select("a", "b"), "dedup-star"), docs)
+    labels = written(components(star), "dedup-labels")
+    rest = confirmed(written(rest_pairs(posts, labels), "dedup-rest"), docs)
+    final = written(components(star.union(rest)), "dedup-components") if rest.take(1) else labels
+    own = nodes.select(F.col("print1").alias("p1"), F.col("print2").alias("p2"), F.col("n").alias("pn"), "node").join(final, "node", "left").select("p1", "p2", "pn", F.coalesce("component", "node").alias("component"))
+    match = (sets["print1"] == own["p1"]) & (sets["print2"] == own["p2"]) & (sets["n_shingles"] == own["pn"]) & sets["doc_id"].isNotNull()
+    found = sets.select("doc_id", "n_shingles", "print1", "print2").join(own, match, "left")
+    component = F.coalesce("component", "doc_id")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM tokens),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM steps UNION SELECT r.x, s.y FROM reach r JOIN steps s ON s.x = r.y),
+lowest AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.m, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(l.m, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN lowest l ON l.x = d.doc_id
+"""

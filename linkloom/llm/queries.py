@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from linkloom.llm.mixing import OP4_SQL, op4_water_filled_mix
+from linkloom.llm.near_dedup import OP6_SQL, op6_minhash_inverted_join
 from linkloom.llm.packing import op2_best_fit_packing
+from linkloom.llm.quality_rules import op3_robust_outliers
 from linkloom.llm.sharding import op8_bounded_ring_shards
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_water_filled_mix, op8_bounded_ring_shards)}
-ORACLES = {"op4_water_filled_mix": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_robust_outliers, op4_water_filled_mix, op6_minhash_inverted_join, op8_bounded_ring_shards)}
+ORACLES = {"op4_water_filled_mix": OP4_SQL, "op6_minhash_inverted_join": OP6_SQL}

@@ -1,8 +1,61 @@
-"""A corpus pipeline made of the operators of linkloom.llm."""
+"""A corpus pipeline: documents pass a quality classifier, near-duplicate removal, removal of personal data and mixing
+to target weights, and are packed into sequences. Each stage reads what the one before it has written.
 
-STAGES = []
+Defined results: an empty table passes through all stages; nulls and extra columns are kept by all stages but the last."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.llm.common import written
+from linkloom.llm.compression import QUALITY_THRESHOLD, quality_model, score
+from linkloom.llm.mixing import repeat
+from linkloom.llm.near_dedup import near_duplicates
+from linkloom.llm.packing import best_fit_pack
+from linkloom.llm.pii import sanitise
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least QUALITY_THRESHOLD."""
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model, docs.columns).where(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; of rows that share a kept doc_id, one."""
+    found = written(near_duplicates(docs).select("doc_id", "kept"), "pipeline-kept").where(F.col("doc_id").isNotNull())
+    gone = written(found.where(~F.col("kept")).select("doc_id").distinct(), "pipeline-gone")
+    left = docs.join(gone, "doc_id", "left_anti")
+    repeated = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline-repeated")
+    if not repeated.take(1):
+        return left.select(*docs.columns)
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    return sanitise(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return repeat(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return best_fit_pack(docs)
+
+
+STAGES = [("quality_classifier", quality), ("minhash_near_dedup", near_dedup), ("pii", personal_data), ("source_mixing", mix), ("best_fit_packing", pack)]
+#: Scores of trained dictionaries and ids of tokenizers are not expressible in SQL; tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

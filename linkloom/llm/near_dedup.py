@@ -9,7 +9,8 @@
    its lists, links are confirmed on the full sets, and components are formed. No list is expanded into all its pairs.
 4. What may be missing are links between nodes of a list that are still in different components. These are counted in
    blocks: signatures are compared inside tasks, a pair only where it first meets, and those over the threshold of all
-   coordinates are confirmed on the full sets. Then components are formed again.
+   coordinates are confirmed on the full sets; in blocks that are dense in such pairs, inside tasks too, so that the rows of
+   all plans stay in proportion to the postings. Then components are formed again.
 
 A link of similarity 0.85 is missed where its signatures agree on fewer than 14 of 32 or 84 of 128 coordinates: a chance of
 less than 1e-7. Everything that is reported is confirmed on whole sets.
@@ -36,7 +37,8 @@ COORDINATES, POSTED = 128, 32
 POSTED_MATCHES, ALL_MATCHES = 14, 84
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 85, 100
-BLOCK = 1000
+BLOCK = 500
+PAIRS_PER_ROW = 2
 _WORDS_AT_ONCE = 400_000
 _ONE = np.dtype([("posted", "<u4", POSTED), ("more", "<u2", COORDINATES - POSTED)])
 
@@ -170,29 +172,36 @@ def postings(nodes: DataFrame) -> DataFrame:
     return chosen.join(nodes.select("node", "n", "sig"), "node")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents in ids (node)."""
+    needed = written(ids.select(F.col("node").alias("doc_id")).distinct(), "dedup-needed")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi"), "dedup-texts")
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-needed")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi"), "dedup-texts")
     of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, last_set = WordHashes(), None, np.empty(0, np.uint64)
+        hashes, last, last_set, none = WordHashes(), None, np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in batches:
             a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
             sets = dict(_sets(text_b, hashes, size))
             keep = []
             for i in range(len(a)):
                 if text_a[i] != last:
-                    last, last_set = text_a[i], dict(_sets([text_a[i]], hashes, size)).get(0, np.empty(0, np.uint64))
-                other = sets.get(i, np.empty(0, np.uint64))
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                if both and DENOMINATOR * both >= NUMERATOR * (len(last_set) + len(other) - both):
+                    last, last_set = text_a[i], dict(_sets([text_a[i]], hashes, size)).get(0, none)
+                if _alike(last_set, sets.get(i, none)):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
     joined = pairs.join(of("b"), "b").join(of("a"), "a")
-    return written(joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct(), "dedup-links")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,8 +244,11 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndar
         yield held
 
 
-def rest_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a list and may be links, each found in blocks of bounded size."""
+def rest_candidates(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidates of different components that share a list, found in blocks of bounded size.
+
+    A row has node and other, or, where a block holds more than PAIRS_PER_ROW pairs a row, other is null and the row is a
+    member of that block: its pairs are confirmed inside a task. So rows stay in proportion to postings."""
     marked = posts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by_component = marked.groupBy("key", "component").agg(F.count("*").alias("c"))
     lists = by_component.groupBy("key").agg(F.count("*").alias("components"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("largest")).where("components > 1")
@@ -256,34 +268,88 @@ def rest_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
     dealt = rows.withColumn("part", F.explode(F.when((F.col("mains") == 1) & (F.col("rests") == 1), whole).when(is_main, of_main).otherwise(of_rest)))
     dealt = dealt.select("key", "part.kind", "part.i", "part.j", "part.side", "coordinate", "node", "component", "n", "mask", "sig")
 
+    by, names = ["key", "kind", "i", "j"], [*dealt.columns, "other"]
+    spread = dealt.repartition(*by).sortWithinPartitions(*by)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, _, _, _, side, coordinate, node, component, n, mask, sig in _groups(batches, 4):
-            if len(node) < 2:
+        for group in _groups(batches, len(by)):
+            if len(group[0]) < 2:
                 continue
-            s = np.frombuffer(b"".join(sig.tolist()), dtype=_ONE)
-            here = np.int64(1) << coordinate.astype(np.int64)[0]
-            bits = np.int64(1) << np.arange(POSTED, dtype=np.int64)
-            for x in range(len(node) - 1):
-                y = np.arange(x + 1, len(node))
-                ok = (component[y] != component[x]) & (DENOMINATOR * np.minimum(n[y], n[x]) >= NUMERATOR * np.maximum(n[y], n[x]))
-                if side[x] >= 0:
-                    ok &= side[y] != side[x]
-                y = y[ok]
-                if not len(y):
-                    continue
-                y = y[_agree(s[y], s[x]) >= ALL_MATCHES]
-                # Only the list of the first key that both are posted under reports the pair.
-                common = ((s["posted"][y] == s["posted"][x]) @ bits) & mask[y] & mask[x]
-                y = y[(common & -common) == here]
-                if len(y):
-                    out.append((np.minimum(node[y], node[x]), np.maximum(node[y], node[x])))
-        a, b = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
+            pairs = [(x, y) for x, near in _candidates(group) for y in near]
+            if not pairs:
+                continue
+            dense = len(pairs) > PAIRS_PER_ROW * len(group[0])
+            rows = np.unique(np.array(pairs).ravel()) if dense else np.array([x for x, _ in pairs])
+            other = np.array([y for _, y in pairs])
+            columns = [pa.array(c[rows]) for c in group]
+            columns.append(pa.nulls(len(rows), pa.int64()) if dense else pa.array(group[_NODE][other]))
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, _TYPES, strict=True)], names)
+
+    return spread.mapInArrow(compare, ", ".join(f"{n} {t.simpleString()}" for n, t in ((f.name, f.dataType) for f in dealt.schema)) + ", other long")
+
+
+_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+_SIDE, _COORDINATE, _NODE, _COMPONENT, _N, _MASK, _SIG = range(4, 11)
+
+
+def _candidates(group: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows that may be linked with it): of another component, near in size and signature, and first met in this list."""
+    side, component, n, mask = group[_SIDE], group[_COMPONENT], group[_N], group[_MASK]
+    s = np.frombuffer(b"".join(group[_SIG].tolist()), dtype=_ONE)
+    here = np.int64(1) << np.int64(group[_COORDINATE][0])
+    bits = np.int64(1) << np.arange(POSTED, dtype=np.int64)
+    for x in range(len(side) - 1):
+        y = np.arange(x + 1, len(side))
+        ok = (component[y] != component[x]) & (DENOMINATOR * np.minimum(n[y], n[x]) >= NUMERATOR * np.maximum(n[y], n[x]))
+        if side[x] >= 0:
+            ok &= side[y] != side[x]
+        y = y[ok]
+        if len(y):
+            y = y[_agree(s[y], s[x]) >= ALL_MATCHES]
+            common = ((s["posted"][y] == s["posted"][x]) @ bits) & mask[y] & mask[x]
+            y = y[(common & -common) == here]
+            if len(y):
+                yield x, y
+
+
+def linked_inside(members: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) within lists, or pairs of their blocks, that are dense in candidates: confirmed where they are found, one for each join of components."""
     by = ["key", "kind", "i", "j"]
-    spread = dealt.repartition(*by).sortWithinPartitions(*by)
-    return spread.mapInArrow(compare, "a long, b long").distinct()
+    names = [*by, "side", "coordinate", "node", "component", "n", "mask", "sig"]
+    rows = members.join(texts, F.col("node") == F.col("doc_id")).select(*names, "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, none = WordHashes(), np.empty(0, np.uint64)
+
+        def with_sets() -> Iterator[pa.RecordBatch]:
+            """Texts give way to their sets, in batches."""
+            for batch in batches:
+                found = dict(_sets(batch.column(len(names)).to_pylist(), hashes, size))
+                sets = pa.array([found.get(i, none).tobytes() for i in range(batch.num_rows)], pa.large_binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], sets], [*names, "set"])
+
+        for group in _groups(with_sets(), len(by)):
+            node, component = group[_NODE], group[_COMPONENT]
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in group[len(names)]]
+            above: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := above.get(c, c)) != c:
+                    above[c] = above.get(up, up)
+                    c = up
+                return c
+
+            a, b = [], []
+            for x, near in _candidates(group) if len(node) > 1 else ():
+                for y in near:
+                    p, q = root(int(component[x])), root(int(component[y]))
+                    if p != q and _alike(sets[x], sets[y]):
+                        above[max(p, q)] = min(p, q)
+                        a.append(int(min(node[x], node[y])))
+                        b.append(int(max(node[x], node[y])))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(check, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -296,10 +362,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = centres.select("key", (-F.col("c.order")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.sig").alias("centre_sig"))
     near = posts.join(centres, "key").where((F.col("node") != F.col("centre")) & near_sizes("n", "centre_n"))
     near = near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "sig", "centre_sig").dropDuplicates(["a", "b"])
-    star = confirmed(written(near.where(_matches("sig", "centre_sig") >= ALL_MATCHES).select("a", "b"), "dedup-star"), docs)
+    near = written(near.where(_matches("sig", "centre_sig") >= ALL_MATCHES).select("a", "b"), "dedup-star")
+    star = written(confirmed(near, texts_of(docs, near.select(F.explode(F.array("a", "b")).alias("node")))), "dedup-links")
     labels = written(components(star), "dedup-labels")
-    rest = confirmed(written(rest_pairs(posts, labels), "dedup-rest"), docs)
-    final = written(components(star.union(rest)), "dedup-components") if rest.take(1) else labels
+    rest = written(rest_candidates(posts, labels), "dedup-rest")
+    texts = texts_of(docs, rest.select("node").union(rest.select("other")).where("node IS NOT NULL"))
+    pairs = rest.where("other IS NOT NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = written(confirmed(pairs, texts).union(linked_inside(rest.where("other IS NULL"), texts)), "dedup-links")
+    final = written(components(star.union(links)), "dedup-components") if links.take(1) else labels
     own = nodes.select(F.col("print1").alias("p1"), F.col("print2").alias("p2"), F.col("n").alias("pn"), "node").join(final, "node", "left").select("p1", "p2", "pn", F.coalesce("component", "node").alias("component"))
     match = (sets["print1"] == own["p1"]) & (sets["print2"] == own["p2"]) & (sets["n_shingles"] == own["pn"]) & sets["doc_id"].isNotNull()
     found = sets.select("doc_id", "n_shingles", "print1", "print2").join(own, match, "left")

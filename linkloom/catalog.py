@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from linkloom import catalog_chains, catalog_graph, catalog_scalars, catalog_similarity
+from linkloom import catalog_chains, catalog_graph, catalog_more, catalog_scalars, catalog_similarity
 
 FLAGSHIP = "A11_weighted_jaccard"
-_PARTS = (catalog_scalars, catalog_similarity, catalog_graph, catalog_chains)
+_PARTS = (catalog_scalars, catalog_similarity, catalog_graph, catalog_chains, catalog_more)
 
 
 def queries() -> dict:

@@ -140,10 +140,10 @@ def K8_gap_table(spark, d):  # noqa: ANN001, ANN201, N802
     return ch.gap_table(line, 300).select("gap", F.floor(F.col("sim") * 1_000_000 + 0.5).cast("long").alias("ppm"))
 
 
-@query("""WITH q AS (SELECT p_partkey, ((p_partkey * 37) % 1000) / 1000.0 + 0.0005 AS y FROM part), g AS (SELECT unnest(range(1, 300)) AS gap)
+@query("""WITH q AS (SELECT p_partkey, ((p_partkey * 37) % 1000) / 1000.0 + 0.0007 AS y FROM part), g AS (SELECT unnest(range(1, 300)) AS gap)
 SELECT p_partkey, coalesce((SELECT min(gap) FROM g WHERE -0.0025 * gap + 0.8 < y), 299)::INTEGER AS gap FROM q""")
 def J11_gap_lookup(spark, d):  # noqa: ANN001, ANN201, N802
-    y = (F.col("p_partkey") * 37 % 1000) / 1000.0 + 0.0005
+    y = (F.col("p_partkey") * 37 % 1000) / 1000.0 + 0.0007
     return ad.table(spark, d, "part").select("p_partkey", ch.gap_of(y, F.lit(-0.0025), F.lit(0.8), 300, 5000).alias("gap"))
 
 
@@ -227,8 +227,8 @@ def U3_candidate_closure(spark, d):  # noqa: ANN001, ANN201, N802
     return pe.closure(pe.gap_candidates(gaps(spark, d), relations(spark, d)))
 
 
-def subgraph(spark, d):  # noqa: ANN001, ANN201
-    return pe.subgraphs(pe.closure(pe.gap_candidates(gaps(spark, d), relations(spark, d))), pe.link_graph(links(spark, d)))
+def subgraph(spark, d, graph=None):  # noqa: ANN001, ANN201
+    return pe.subgraphs(pe.closure(pe.gap_candidates(gaps(spark, d), relations(spark, d))), graph if graph is not None else pe.link_graph(links(spark, d)))
 
 
 @query(sql("contigs", "pairs", "chains", also=_CLOSE) + "SELECT a.prev, a.next, g.src, g.dst, g.cnt, g.len FROM cl a JOIN pg g ON g.src = a.node JOIN cl b ON b.prev = a.prev AND b.next = a.next AND b.node = g.dst")
@@ -239,7 +239,7 @@ def J16_gap_subgraphs(spark, d):  # noqa: ANN001, ANN201, N802
 def fills(spark, d):  # noqa: ANN001, ANN201
     nodes = ad.contigs(spark, d).select(F.explode(F.array(F.col("contig"), F.col("contig") + 1)).alias("node"), "length")
     trunk = ad.chains(spark, d).where("idx % 4 = 0").select("contig")
-    return pe.fill_gaps(subgraph(spark, d), nodes, trunk, 12_000)
+    return pe.fill_gaps(subgraph(spark, d, pe.strong_links(pe.link_graph(links(spark, d)), 3000, 2)), nodes, trunk, 5000)
 
 
 @query()
@@ -299,12 +299,12 @@ def K11_agp_rows(spark, d):  # noqa: ANN001, ANN201, N802
 
 
 _SEQ = _SCAFF + """,
-seqs AS (SELECT 2 * doc_id::BIGINT + 1 AS contig, upper(text) AS seq FROM documents),
+seqs AS (SELECT 2 * doc_id::BIGINT + 1 AS contig, text AS seq FROM documents),
 pieces AS (SELECT s.scaff, s.idx, CASE WHEN s.strand = '+' THEN q.seq ELSE regexp_replace(translate(reverse(q.seq), 'ACGTacgt', 'TGCATGCA'), '[^ACGT]', 'N', 'g') END || CASE WHEN s.gap > 0 THEN repeat('N', greatest(s.gap, 11)) ELSE '' END AS p FROM scaffs s JOIN seqs q ON q.contig = s.contig)"""
 
 
 def sequences(spark, d):  # noqa: ANN001, ANN201
-    return ad.table(spark, d, "documents").select((2 * F.col("doc_id").cast("long") + 1).alias("contig"), F.upper("text").alias("seq"))
+    return ad.table(spark, d, "documents").select((2 * F.col("doc_id").cast("long") + 1).alias("contig"), F.col("text").alias("seq"))
 
 
 @query(sql("contigs", "chains", also=_SEQ) + "SELECT scaff, string_agg(p, '' ORDER BY idx) AS seq FROM pieces GROUP BY scaff")

@@ -162,8 +162,8 @@ def A14_least_and_total(spark, d):  # noqa: ANN001, ANN201, N802
     return ad.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 50).alias("e")).agg(F.min("l_quantity").alias("least"), F.sum("l_quantity").alias("total"))
 
 
-@query(sql("positions") + """, at AS (SELECT contig, pos, string_agg(barcode::VARCHAR, '|' ORDER BY barcode) AS b FROM (SELECT DISTINCT * FROM positions) GROUP BY 1, 2)
-SELECT contig, contig || chr(9) || string_agg(pos || ':' || b, chr(9) ORDER BY pos) AS value FROM at GROUP BY 1""")
+@query(sql("positions") + """, spots AS (SELECT contig, pos, string_agg(barcode::VARCHAR, '|' ORDER BY barcode) AS b FROM (SELECT DISTINCT * FROM positions) GROUP BY 1, 2)
+SELECT contig, contig || chr(9) || string_agg(pos || ':' || b, chr(9) ORDER BY pos) AS value FROM spots GROUP BY 1""")
 def K4_position_lines(spark, d):  # noqa: ANN001, ANN201, N802
     return writers.position_lines(ad.positions(spark, d))
 

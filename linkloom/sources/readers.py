@@ -85,7 +85,7 @@ def read_barcode_positions(spark: SparkSession, path: str, contigs: DataFrame |
     if contigs is not None:
         rows = rows.join(contigs.select("contig"), "contig", "left_semi")
     items = rows.select("contig", F.explode("items").alias("i")).select("contig", F.split("i", ":").alias("q"))
-    return items.select("contig", F.col("q")[0].cast("int").alias("pos"), F.explode(F.split(F.col("q")[1], r"\|")).cast("long").alias("barcode")).distinct()
+    return items.select("contig", F.col("q")[0].cast("int").alias("pos"), F.explode(F.transform(F.split(F.col("q")[1], r"\|"), lambda b: b.cast("long"))).alias("barcode")).distinct()
 
 
 def read_chains(spark: SparkSession, path: str) -> DataFrame:

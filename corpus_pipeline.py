@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import written
+from linkloom.llm.common import fresh, written
 from linkloom.llm.compression import QUALITY_THRESHOLD, quality_model, score
 from linkloom.llm.mixing import repeat
 from linkloom.llm.near_dedup import near_duplicates
@@ -19,7 +19,8 @@ from linkloom.llm.pii import sanitise
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least QUALITY_THRESHOLD."""
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, docs.columns).where(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
+    name = fresh(docs, "score")
+    return score(docs, model, docs.columns, name).where(F.col(name) >= QUALITY_THRESHOLD).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from linkloom.llm.common import crc_mod, small_text_batches
+from linkloom.llm.common import crc_mod, fresh, small_text_batches
 
 #: Labelled rows of a class that are learnt from, and the longest of them in code points.
 PER_CLASS, LONGEST = 3000, 16_384
@@ -81,18 +82,18 @@ def learn(ones: list[str], zeros: list[str], share: float, dictionaries: Callabl
     return Model(made, compressors, features, calibrate(x, np.r_[np.ones(len(ones[1::2])), np.zeros(len(zeros[1::2]))], share), share)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns `keep`) and score for every document."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """doc_id (or the columns `keep`) and the score, under a name that is none of these, for every document."""
     small_text_batches(docs.sparkSession)
     names = keep if keep is not None else ["doc_id"]
-    plain = docs.select(*[docs[c] for c in names], docs["text"].cast("string").alias("__text"))
+    plain = docs.select(*[docs[c] for c in names], docs["text"].cast("string").alias(fresh(docs, "whole_text")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = model.compressors(model.dictionaries) if model.fitted else []
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(batch.column(len(names)).to_pylist(), tools), pa.float64())], [*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(batch.column(len(names)).to_pylist(), tools), pa.float64())], [*names, name])
 
-    schema = plain.drop("__text").schema.add("__score", "double")
+    schema = StructType([*plain.schema.fields[:-1], StructField(name, DoubleType())])
     return plain.mapInArrow(work, schema)
 
 
@@ -145,7 +146,7 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score(docs, quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), QUALITY_MOD) == QUALITY_HELD_OUT, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
 # Toxicity: small windows, and dictionaries that differ only in what marks toxic lines.
@@ -221,4 +222,4 @@ def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score(docs, toxic_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), TOXIC_MOD) == TOXIC_HELD_OUT, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import written
+from linkloom.llm.common import fresh, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -99,10 +99,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
 def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """docs with its own columns, each row as often as the mix takes it. Texts are scanned, never shuffled."""
     rows = written(sized(docs, seed), "mix-sizes")
-    share = shares(rows, weights, max_epochs).select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("last_key").alias("__last"))
-    joined = docs.join(share, docs["source"].cast("string").eqNullSafe(F.col("__source")))
-    n = times(F.col("__whole"), order_key(F.col("doc_id"), F.col("text").cast("string"), seed), F.col("__last"))
-    return joined.withColumn("__copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>")))).select(*[docs[c] for c in docs.columns])
+    source, whole, last, copy = (fresh(docs, f"mix_{c}") for c in ("source", "whole", "last", "copy"))
+    share = shares(rows, weights, max_epochs).select(F.col("source").alias(source), F.col("whole").alias(whole), F.col("last_key").alias(last))
+    joined = docs.join(share, docs["source"].cast("string").eqNullSafe(F.col(source)))
+    n = times(F.col(whole), order_key(docs["doc_id"], docs["text"].cast("string"), seed), F.col(last))
+    return joined.withColumn(copy, F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>")))).select(*docs.columns)
 
 
 def op4_water_filled_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

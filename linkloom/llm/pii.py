@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import small_text_batches, written
+from linkloom.llm.common import fresh, small_text_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 RADIUS = 6
@@ -268,21 +268,26 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     base = written(base_table(docs), "pii-base")
     added = added_spans(docs, disclosing_terms(docs, base))
-    found = docs.join(added.select(F.col("doc_id").alias("__d"), F.struct("text_hash", "added").alias("__a")).groupBy("__d").agg(F.collect_list("__a").alias("__added")), docs["doc_id"].eqNullSafe(F.col("__d")), "left") if added.take(1) else docs.withColumn("__added", F.lit(None).cast("array<struct<text_hash:long,added:array<struct<kind:string,start:int,end:int>>>>"))
+    of, more = fresh(docs, "pii_doc"), fresh(docs, "pii_added")
+    if added.take(1):
+        by_doc = added.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("text_hash", "added")).alias(more))
+        found = docs.join(by_doc, docs["doc_id"].eqNullSafe(F.col(of)), "left")
+    else:
+        found = docs.withColumn(more, F.lit(None).cast("array<struct<text_hash:long,added:array<struct<kind:string,start:int,end:int>>>>"))
     names = [c for c in docs.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, more in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 if text:
-                    key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63 if more else 0
-                    text = masked(text, [a for x in more or [] if x["text_hash"] == key for a in x["added"]])
+                    key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63 if spans else 0
+                    text = masked(text, [a for x in spans or [] if x["text_hash"] == key for a in x["added"]])
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], [*names, "text"])
 
-    plain = found.select(*[docs[c] for c in names], docs["text"].cast("string").alias("text"), "__added")
-    schema = plain.drop("__added").schema
+    plain = found.select(*[docs[c] for c in names], docs["text"].cast("string").alias("text"), more)
+    schema = plain.drop(more).schema
     clean = plain.mapInArrow(work, schema)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))

@@ -12,8 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries texts; bounds what a Python worker holds at once.
-TEXT_ROWS_PER_BATCH = 256
+#: Rows and bytes of an Arrow batch that carries texts; they bound what a Python worker holds at once.
+TEXT_ROWS_PER_BATCH, TEXT_BYTES_PER_BATCH = 256, 32 << 20
 #: Rows that one group of a ranking window may reach on average before it is split further.
 ROWS_PER_SALT = 5_000
 
@@ -43,8 +43,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_text_batches(spark: SparkSession) -> None:
-    """Long texts come in batches of few rows, so a worker's memory stays bounded."""
+    """Long texts come in batches of few rows and bytes, so a worker's memory stays bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES_PER_BATCH))
 
 
 def rank_in_groups(df: DataFrame, key: str, order: list[str], rows: int, rank: str = "rank") -> DataFrame:
@@ -74,10 +75,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def total(columns: list[Column]) -> Column:
     return reduce(add, columns)
 

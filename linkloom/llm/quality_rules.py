@@ -154,7 +154,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, lang, source, base counts, base_failed, distance (squared, scaled; null where no estimate is), kept."""
-    rows = written(grouped(statistics(docs)), "rules-rows")
+    rows = written(grouped(written(statistics(docs), "rules-statistics")), "rules-rows")
     found = rows.join(estimates(rows), "grp", "left")
     distance = _squared(len(STATISTICS)) / F.col("scale")
     return found.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).drop("grp", "mu", "whiten", "scale", "x")

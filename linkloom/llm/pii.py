@@ -3,11 +3,10 @@
 An entity is the value of a base span, in lower case and without what separates digits. Words near its occurrences are
 candidate terms. With p(e) and p(t) the shares of documents that hold entity and term, and p(e, t) of those where the
 term stands near the entity, a term discloses PMI(e; t) of the IC(e) = -log p(e) bits of the entity. A term seen near
-the entity in at least MIN_CONTEXTS different contexts (copies of a passage are one) is generalised to its shape from
-GENERALISE of IC(e) on and removed from REMOVE on, wherever it stands.
+the entity in at least MIN_CONTEXTS different contexts is generalised to its shape from
+GENERALISE of IC(e) on and removed from REMOVE on, wherever it stands. Copies hardly count: see different().
 
-Counting takes a scan for spans and contexts; only if candidates are left, one for their document counts and, if terms
-are left, one for their places. Between scans, terms are sets of bits of a fixed size; exact terms are joined afterwards.
+There is a scan for spans and contexts, one for candidates' document counts and one for disclosing terms' places. Between scans, terms are sets of bits of a fixed size; exact terms are joined afterwards.
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans each; a null doc_id is kept; an
 empty table gives no rows; sanitise() keeps other columns as they are.
@@ -25,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import fresh, small_text_batches, written
+from linkloom.llm.common import WordHashes, fresh, hashed, lower_words, mixed, shingles, small_text_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 RADIUS = 6
 MIN_CONTEXTS = 3
+MARKS = 4
 GENERALISE, REMOVE = 0.8, 0.9
 #: Bits of the set of terms that is handed to scans.
 FILTER_BITS = 1 << 22
@@ -87,6 +87,14 @@ def term_of(word: str) -> str:
     return word.strip(_EDGES).lower()
 
 
+def _marks(text: str) -> list[int]:
+    """The least of MARKS hash functions over the text's shingles: near copies agree in most of them."""
+    members = shingles(hashed(lower_words(text), WordHashes()), 5)
+    if not len(members):
+        return [0] * MARKS
+    return [int(mixed(members ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min().astype(np.int64)) for k in range(MARKS)]
+
+
 def _contexts(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[int, str, int]]:
     """(entity, term, context) for words near entities: entity and context as 64-bit hashes."""
     import xxhash
@@ -108,11 +116,11 @@ def _contexts(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, counts, base_sha256, base (spans), contexts array<struct<entity, term, context>>."""
+    """doc_id, text_hash, counts, base_sha256, base (spans), contexts array<struct<entity, term, context>>, marks (of texts with contexts)."""
     small_text_batches(docs.sparkSession)
     item = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64())])
-    names = ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "contexts"]
-    types = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(item)]
+    names = ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "contexts", "marks"]
+    types = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(item), pa.list_(pa.int64())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -124,12 +132,12 @@ def base_table(docs: DataFrame) -> DataFrame:
                 found = base_spans(text)
                 base = joined([(k, s, e) for k in KINDS for s, e in found[k]])
                 contexts = [{"entity": x, "term": t, "context": c} for x, t, c in _contexts(text, found)] if base else []
-                row = [doc_id, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, *(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, contexts]
+                row = [doc_id, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, *(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, contexts, _marks(text) if contexts else []]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-    schema = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts array<struct<entity:long,term:string,context:long>>"
+    schema = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts array<struct<entity:long,term:string,context:long>>, marks array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
@@ -203,17 +211,21 @@ def _locate(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "text_hash", "term", "start", "end"])
 
 
+def different(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: of how many different origins a key's rows are. For every mark, and for the context, it is the number of rows over
+    that of its most frequent value, the least of which counts: copies agree in most marks, so a group of them stays near 1."""
+    marks = F.concat(F.array("context"), F.col("marks"))
+    counted = rows.select(*keys, F.posexplode(marks).alias("k", "mark")).groupBy(*keys, "k", "mark").agg(F.count("*").alias("c"))
+    return counted.groupBy(*keys, "k").agg(F.expr("sum(c) div max(c)").alias("n")).groupBy(*keys).agg(F.min("n").alias("n"))
+
+
 def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """term, strength (largest share of an entity's information), kind (generalised or removed)."""
-    schema = "term string, strength double, kind string"
-    spark = docs.sparkSession
-    seen = base.select(F.explode("contexts").alias("c")).select("c.*").distinct()
+    seen = base.select(F.explode("contexts").alias("c"), "marks").select("c.*", "marks").distinct()
     seen = written(seen, "pii-contexts")
-    near = seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_contexts)
+    near = different(seen, ["entity", "term"]).withColumnRenamed("n", "n_et").where(F.col("n_et") >= min_contexts)
     near = written(near, "pii-candidates")
-    if not near.take(1):
-        return spark.createDataFrame([], schema)
-    entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    entities = different(seen.select("entity", "context", "marks").distinct(), ["entity"]).withColumnRenamed("n", "n_e")
     terms = near.select("term").distinct()
     counts = _scan(docs, terms, "term string, n long", _count).groupBy("term").agg(F.sum("n").alias("n_t"))
     total = base.count()
@@ -227,9 +239,6 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_C
 
 def added_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, text_hash, added (spans by kind, then start) for documents that hold disclosing terms."""
-    schema = "doc_id long, text_hash long, added array<struct<kind:string,start:int,end:int>>"
-    if not terms.take(1):
-        return docs.sparkSession.createDataFrame([], schema)
     places = _scan(docs, terms, "doc_id long, text_hash long, term string, start int, end int", _locate).join(terms, "term")
     return written(places.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added")), "pii-added")
 
@@ -239,10 +248,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base = written(base_table(docs), "pii-base")
     added = added_spans(docs, disclosing_terms(docs, base))
     if not added.take(1):
-        return base.drop("contexts").withColumns({"added": F.lit(None).cast("array<struct<kind:string,start:int,end:int>>"), "spans": F.col("base")})
+        return base.drop("contexts", "marks").withColumns({"added": F.lit(None).cast("array<struct<kind:string,start:int,end:int>>"), "spans": F.col("base")})
     more = added.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "added")
     text = F.array_join(F.transform("added", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    found = base.drop("contexts").join(more, base["doc_id"].eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").drop("__d", "__h")
+    found = base.drop("contexts", "marks").join(more, base["doc_id"].eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").drop("__d", "__h")
     return found.withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).when(F.col("base") == "", text).otherwise(F.concat_ws(",", "base", text)))
 
 

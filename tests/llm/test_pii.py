@@ -76,6 +76,22 @@ def test_strength_is_the_share_of_information(spark, min_contexts):
     assert {k: v for k, v in terms.items() if k == "zorblax"} == pytest.approx(want)
 
 
+def test_near_copies_are_no_evidence(spark):
+    """Forty edited copies of a passage that holds an address disclose nothing about it."""
+    rng = random.Random(2)
+    base = f"{prose(rng, 50)} Quibblefex wrote to sam@example.org lately {prose(rng, 50)}".split(" ")
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(4):
+            at = rng.randrange(len(words))
+            words[at] = words[at] if "@" in words[at] else f"edit{rng.randrange(999)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, prose(rng, 30)) for i in range(300)]
+    got = pii.find_pii(docs(spark, rows))
+    assert got.where("spans <> base").count() == 0 and got.where("n_email = 1").count() == 40
+
+
 def test_rows_and_columns_stay(spark):
     table = docs(spark, ODD)
     got = pii.sanitise(table)

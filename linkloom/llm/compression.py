@@ -149,14 +149,14 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
-# Toxicity: small windows, and dictionaries that differ only in what marks toxic lines.
+# Toxicity: small windows, and dictionaries that differ only in what marks toxic texts.
 
 TOXIC_WINDOW = 128
 TOXIC_MOD, TOXIC_HELD_OUT, TOXIC_THRESHOLD = 5, 0, 0.5
 ORDINARY_BYTES = 24_000
-#: A beginning of a word marks toxic lines if it is in at least this share of the distinct lines of toxic texts, in three
-#: of them, and this many times as frequent there as in those of ordinary texts.
-SUPPORT, LIFT = 0.003, 15
+#: A beginning of a word marks toxic texts if it has at least this share of their words' different places, three of them,
+#: and this many times as much of them as it has in ordinary texts.
+SUPPORT, LIFT = 0.0002, 15
 _SHORTEST, _WORDS_EACH = 4, 4
 _PLAIN = bytes(32 if c in b"\t\n\v\f\r.,!?;:\"'()[]" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -167,14 +167,18 @@ def plain(text: str) -> bytes:
 
 
 def _beginnings(texts: list[str]) -> tuple[Counter, Counter, int]:
-    """How many distinct lines hold each beginning of a word, and each word; the number of lines."""
+    """How often each beginning of a word, and each word, stands between different neighbours; the number of all such places.
+
+    A word between the same two neighbours counts once, so edited copies of a text hardly count again."""
     starts, words, seen = Counter(), Counter(), set()
     for text in texts:
-        for line in set(text.split("\n")) - seen:
-            seen.add(line)
-            own = {b" " + w + b" " for w in plain(line).split()}
-            words.update(own)
-            starts.update({w[:k] for w in own for k in range(_SHORTEST, min(len(w), 12) + 1)})
+        w = plain(text).split()
+        for place in zip([b"", *w], w, [*w[1:], b""], strict=False):
+            if place not in seen:
+                seen.add(place)
+                own = b" " + place[1] + b" "
+                words[own] += 1
+                starts.update([own[:k] for k in range(_SHORTEST, min(len(own), 12) + 1)])
     return starts, words, len(seen)
 
 

@@ -3,8 +3,8 @@
 An entity is the value of a base span, in lower case and without what separates digits. Words near its occurrences are
 candidate terms. With p(e) and p(t) the shares of documents that hold entity and term, and p(e, t) of those where the
 term stands near the entity, a term discloses PMI(e; t) of the IC(e) = -log p(e) bits of the entity. A term seen near
-the entity in at least MIN_CONTEXTS different contexts is generalised to its shape from
-GENERALISE of IC(e) on and removed from REMOVE on, wherever it stands. Copies hardly count: see different().
+the entity in texts of at least MIN_CONTEXTS different origins is generalised to its shape from
+GENERALISE of IC(e) on and removed from REMOVE on, wherever it stands. Near copies are one origin: see origins().
 
 There is a scan for spans and contexts, one for candidates' document counts and one for disclosing terms' places. Between scans, terms are sets of bits of a fixed size; exact terms are joined afterwards.
 
@@ -24,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WordHashes, fresh, hashed, lower_words, mixed, shingles, small_text_batches, written
+from linkloom.llm.common import WordHashes, fresh, mixed, small_text_batches, written
+from linkloom.llm.near_dedup import SHINGLE, _functions, _sets, components
 
 KINDS = ("email", "ip", "card", "phone")
 RADIUS = 6
 MIN_CONTEXTS = 3
-MARKS = 4
+#: Texts that agree in a band, some of their signatures' coordinates together, are of one origin. Of copies with a fifth of their
+#: shingles changed 1e-5 stay apart; of texts with a tenth of their shingles in common 0.02 come together.
+BANDS, COORDINATES_PER_BAND = 16, 3
+_WORDS_AT_ONCE = 400_000
 GENERALISE, REMOVE = 0.8, 0.9
 #: Bits of the set of terms that is handed to scans.
 FILTER_BITS = 1 << 22
@@ -87,12 +91,39 @@ def term_of(word: str) -> str:
     return word.strip(_EDGES).lower()
 
 
-def _marks(text: str) -> list[int]:
-    """The least of MARKS hash functions over the text's shingles: near copies agree in most of them."""
-    members = shingles(hashed(lower_words(text), WordHashes()), 5)
-    if not len(members):
-        return [0] * MARKS
-    return [int(mixed(members ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min().astype(np.int64)) for k in range(MARKS)]
+def _bands(texts: list[str], hashes: WordHashes) -> list[list[int]]:
+    """BANDS 64-bit hashes of every text, each of the least values of some hash functions over the text's shingles; none without words."""
+    flip, factor = _functions()
+    out: list[list[int]] = [[] for _ in texts]
+    places: list[int] = []
+    parts: list[np.ndarray] = []
+
+    def flush() -> None:
+        if not places:
+            return
+        members = (np.concatenate(parts) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+        bands = np.empty((len(places), BANDS), dtype=np.uint64)
+        for i in range(BANDS):
+            acc = np.full(len(places), np.uint64(i + 1))
+            for k in range(i * COORDINATES_PER_BAND, (i + 1) * COORDINATES_PER_BAND):
+                acc = mixed(acc * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((members ^ flip[k]) * factor[k], starts))
+            bands[:, i] = acc
+        for place, row in zip(places, bands.view(np.int64).tolist(), strict=True):
+            out[place] = row
+        places.clear()
+        parts.clear()
+
+    held = 0
+    for place, members in _sets(texts, hashes, SHINGLE):
+        places.append(place)
+        parts.append(members)
+        held += len(members)
+        if held > _WORDS_AT_ONCE:
+            flush()
+            held = 0
+    flush()
+    return out
 
 
 def _contexts(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[int, str, int]]:
@@ -116,28 +147,29 @@ def _contexts(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, counts, base_sha256, base (spans), contexts array<struct<entity, term, context>>, marks (of texts with contexts)."""
+    """doc_id, text_hash, counts, base_sha256, base (spans), contexts array<struct<entity, term, context>>, bands."""
     small_text_batches(docs.sparkSession)
     item = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64())])
-    names = ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "contexts", "marks"]
+    names = ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "contexts", "bands"]
     types = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(item), pa.list_(pa.int64())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        hashes = WordHashes()
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, text, bands in zip(batch.column(0).to_pylist(), texts, _bands(texts, hashes), strict=True):
                 found = base_spans(text)
                 base = joined([(k, s, e) for k in KINDS for s, e in found[k]])
                 contexts = [{"entity": x, "term": t, "context": c} for x, t, c in _contexts(text, found)] if base else []
-                row = [doc_id, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, *(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, contexts, _marks(text) if contexts else []]
+                row = [doc_id, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, *(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, contexts, bands]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-    schema = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts array<struct<entity:long,term:string,context:long>>, marks array<long>"
+    schema = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts array<struct<entity:long,term:string,context:long>>, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
@@ -211,29 +243,43 @@ def _locate(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "text_hash", "term", "start", "end"])
 
 
+def origins(base: DataFrame) -> DataFrame:
+    """text_hash, origin: the texts that are linked with others by bands, and the least of those they are linked with.
+    Any other text is its own origin. A group of near copies, of whatever size, is one origin."""
+    keys = base.groupBy("text_hash").agg(F.first("bands").alias("bands")).select("text_hash", F.explode("bands").alias("band"))
+    keys = written(keys, "pii-bands")
+    shared = keys.groupBy("band").agg(F.min("text_hash").alias("least"), F.count("*").alias("c")).where("c > 1").select("band", "least")
+    links = keys.join(shared, "band").where("text_hash <> least").select(F.col("text_hash").alias("a"), F.col("least").alias("b")).distinct()
+    return written(components(written(links, "pii-links")).select(F.col("node").alias("text_hash"), F.col("component").alias("origin")), "pii-origins")
+
+
+def with_origin(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with origin instead of text_hash. known: of origins()."""
+    return rows.join(known, "text_hash", "left").withColumn("origin", F.coalesce("origin", "text_hash")).drop("text_hash")
+
+
 def different(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n: of how many different origins a key's rows are. For every mark, and for the context, it is the number of rows over
-    that of its most frequent value, the least of which counts: copies agree in most marks, so a group of them stays near 1."""
-    marks = F.concat(F.array("context"), F.col("marks"))
-    counted = rows.select(*keys, F.posexplode(marks).alias("k", "mark")).groupBy(*keys, "k", "mark").agg(F.count("*").alias("c"))
-    return counted.groupBy(*keys, "k").agg(F.expr("sum(c) div max(c)").alias("n")).groupBy(*keys).agg(F.min("n").alias("n"))
+    """keys, n: of how many different origins, and in how many different contexts, a key's rows are; the lesser."""
+    count = lambda c: rows.select(*keys, c).distinct().groupBy(*keys).agg(F.count("*").alias(f"n_{c}"))
+    return count("origin").join(count("context"), keys).select(*keys, F.least("n_origin", "n_context").alias("n"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """term, strength (largest share of an entity's information), kind (generalised or removed)."""
-    seen = base.select(F.explode("contexts").alias("c"), "marks").select("c.*", "marks").distinct()
+    known = origins(base)
+    seen = with_origin(base.select(F.explode("contexts").alias("c"), "text_hash").select("c.*", "text_hash").distinct(), known)
     seen = written(seen, "pii-contexts")
     near = different(seen, ["entity", "term"]).withColumnRenamed("n", "n_et").where(F.col("n_et") >= min_contexts)
     near = written(near, "pii-candidates")
-    entities = different(seen.select("entity", "context", "marks").distinct(), ["entity"]).withColumnRenamed("n", "n_e")
+    entities = different(seen, ["entity"]).withColumnRenamed("n", "n_e")
     terms = near.select("term").distinct()
     counts = _scan(docs, terms, "term string, n long", _count).groupBy("term").agg(F.sum("n").alias("n_t"))
     total = base.count()
-    known = near.join(entities, "entity").join(counts, "term")
+    weighed = near.join(entities, "entity").join(counts, "term")
     n = F.lit(float(total))
     information = F.log(n / F.least(F.col("n_e"), n - 1))
     strength = F.log(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et"))) / information
-    found = known.groupBy("term").agg(F.max(strength).alias("strength")).where(F.col("strength") >= generalise)
+    found = weighed.groupBy("term").agg(F.max(strength).alias("strength")).where(F.col("strength") >= generalise)
     return written(found.withColumn("kind", F.when(F.col("strength") >= remove, "removed").otherwise("generalised")), "pii-terms")
 
 
@@ -248,10 +294,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base = written(base_table(docs), "pii-base")
     added = added_spans(docs, disclosing_terms(docs, base))
     if not added.take(1):
-        return base.drop("contexts", "marks").withColumns({"added": F.lit(None).cast("array<struct<kind:string,start:int,end:int>>"), "spans": F.col("base")})
+        return base.drop("contexts", "bands").withColumns({"added": F.lit(None).cast("array<struct<kind:string,start:int,end:int>>"), "spans": F.col("base")})
     more = added.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "added")
     text = F.array_join(F.transform("added", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    found = base.drop("contexts", "marks").join(more, base["doc_id"].eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").drop("__d", "__h")
+    found = base.drop("contexts", "bands").join(more, base["doc_id"].eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").drop("__d", "__h")
     return found.withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).when(F.col("base") == "", text).otherwise(F.concat_ws(",", "base", text)))
 
 

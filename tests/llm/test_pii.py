@@ -92,6 +92,31 @@ def test_near_copies_are_no_evidence(spark):
     assert got.where("spans <> base").count() == 0 and got.where("n_email = 1").count() == 40
 
 
+def edited(rng, passage, i):
+    words = passage.split(" ")
+    for _ in range(2):
+        at = rng.randrange(len(words))
+        words[at] = words[at] if "@" in words[at] or "uibble" in words[at] else f"edit{rng.randrange(999)}"
+    return (i, " ".join(words))
+
+
+@pytest.mark.parametrize(("copies", "others"), [(40, 10), (200, 100)])
+def test_near_copies_count_once_beside_other_texts(spark, copies, others):
+    """A group of near copies doesn't cancel the evidence of independent texts."""
+    rng = random.Random(4)
+    passage = f"{prose(rng, 60)} Quibblefex wrote to sam@example.org lately {prose(rng, 60)}"
+    rows = [edited(rng, passage, i) for i in range(copies)]
+    rows += [(1000 + i, f"{prose(rng, 30)} {prose(rng, 2)} Quibblefex {prose(rng, 2)} sam@example.org {prose(rng, 30)}") for i in range(others)]
+    rows += [(2000 + i, prose(rng, 30)) for i in range(2000)]
+    table = docs(spark, rows)
+    base = pii.base_table(table)
+    of = pii.with_origin(base.select("doc_id", "text_hash"), pii.origins(base)).collect()
+    assert len({r["origin"] for r in of if r["doc_id"] < 1000}) == 1
+    assert len({r["origin"] for r in of if 1000 <= r["doc_id"] < 2000}) == others
+    seen = pii.with_origin(base.selectExpr("inline(contexts)", "text_hash"), pii.origins(base))
+    assert pii.different(seen.where("term = 'quibblefex'"), ["term"]).first()["n"] == others + 1
+
+
 def test_rows_and_columns_stay(spark):
     table = docs(spark, ODD)
     got = pii.sanitise(table)

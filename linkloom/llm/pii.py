@@ -1,8 +1,8 @@
 """Personal data: fixed kinds found by pattern, and terms that give protected entities away.
 
 An entity is the value of a base span, in lower case and without what separates digits. Words near its occurrences are
-candidate terms. With p(e) and p(t) the shares of documents that hold entity and term, and p(e, t) of those where the
-term stands near the entity, a term discloses PMI(e; t) of the IC(e) = -log p(e) bits of the entity. A term seen near
+candidate terms. With p(e) and p(t) the numbers of origins that hold entity and term, and p(e, t) of those where the
+term stands near the entity, each over the number of rows, a term discloses PMI(e; t) of the IC(e) = -log p(e) bits of the entity. A term seen near
 the entity in texts of at least MIN_CONTEXTS different origins is generalised to its shape from
 GENERALISE of IC(e) on and removed from REMOVE on, wherever it stands. Near copies are one origin: see origins().
 
@@ -173,9 +173,9 @@ def base_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
-def _bits(terms: DataFrame) -> np.ndarray:
-    """The terms' set of FILTER_BITS bits; what comes to the driver is bounded by that number."""
-    rows = terms.select(F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)).alias("bit")).distinct().groupBy((F.col("bit") / 65536).cast("int").alias("page")).agg(F.collect_list((F.col("bit") % 65536).cast("int")).alias("bits")).collect()
+def _bits(bits: DataFrame) -> np.ndarray:
+    """The set of the column's bits, of FILTER_BITS; what comes to the driver is bounded by that number."""
+    rows = bits.toDF("bit").distinct().groupBy((F.col("bit") / 65536).cast("int").alias("page")).agg(F.collect_list((F.col("bit") % 65536).cast("int")).alias("bits")).collect()
     out = np.zeros(FILTER_BITS, dtype=bool)
     for r in rows:
         out[r["page"] * 65536 + np.array(r["bits"])] = True
@@ -185,7 +185,7 @@ def _bits(terms: DataFrame) -> np.ndarray:
 def _scan(docs: DataFrame, terms: DataFrame, schema: str, emit: Callable) -> DataFrame:
     """Runs emit(doc_id, text, test) over all texts, with test(term) true for at least the terms; its batches are the result."""
     known = {}
-    packed = _bits(terms)
+    packed = _bits(terms.select(F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))))
     small_text_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,16 +212,33 @@ def _spark_hash(term: str) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def _count(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-    for batch in batches:
-        for text in batch.column(1).to_pylist():
-            counts.update({t for w in set(_WORD.findall(text or "")) if (t := test[w])})
-        if len(counts) > 100_000:
-            yield as_batch()
-            counts.clear()
-    yield as_batch()
+def _count(packed: np.ndarray) -> Callable:
+    """Emits term, text_hash, n: numbers of texts without a copy, with a null hash, and every text whose hash's bit is in the set."""
+
+    def emit(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        bits = np.unpackbits(packed)
+        counts: Counter = Counter()
+        as_batch = lambda t, h, n: pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["term", "text_hash", "n"])
+        single = lambda: as_batch(list(counts), [None] * len(counts), list(counts.values()))
+        for batch in batches:
+            copied: dict[tuple[str, int], None] = {}
+            for text in batch.column(1).to_pylist():
+                if found := {t for w in set(_WORD.findall(text or "")) if (t := test[w])}:
+                    key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+                    if bits[key % FILTER_BITS]:
+                        copied.update(dict.fromkeys((t, key) for t in found))
+                    else:
+                        counts.update(found)
+            if copied:
+                yield as_batch([t for t, _ in copied], [h for _, h in copied], [1] * len(copied))
+            if len(counts) > 100_000:
+                yield single()
+                counts.clear()
+        yield single()
+
+    return emit
 
 
 def _locate(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.RecordBatch]:
@@ -264,6 +281,15 @@ def different(rows: DataFrame, keys: list[str]) -> DataFrame:
     return count("origin").join(count("context"), keys).select(*keys, F.least("n_origin", "n_context").alias("n"))
 
 
+def origins_with(docs: DataFrame, base: DataFrame, terms: DataFrame, known: DataFrame) -> DataFrame:
+    """term, n_t: how many different origins hold it."""
+    copied = base.groupBy("text_hash").agg(F.count("*").alias("c")).where("c > 1").select("text_hash").union(known.select("text_hash"))
+    packed = _bits(copied.select(F.pmod("text_hash", F.lit(FILTER_BITS))))
+    texts = _scan(docs, terms, "term string, text_hash long, n long", _count(packed)).groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
+    by_origin = with_origin(texts, known).groupBy("term", "origin").agg(F.sum("n").alias("n"))
+    return by_origin.groupBy("term").agg(F.sum(F.when(F.col("origin").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+
+
 def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """term, strength (largest share of an entity's information), kind (generalised or removed)."""
     known = origins(base)
@@ -273,7 +299,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_C
     near = written(near, "pii-candidates")
     entities = different(seen, ["entity"]).withColumnRenamed("n", "n_e")
     terms = near.select("term").distinct()
-    counts = _scan(docs, terms, "term string, n long", _count).groupBy("term").agg(F.sum("n").alias("n_t"))
+    counts = origins_with(docs, base, terms, known)
     total = base.count()
     weighed = near.join(entities, "entity").join(counts, "term")
     n = F.lit(float(total))

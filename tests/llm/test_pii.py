@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -117,6 +118,19 @@ def test_near_copies_count_once_beside_other_texts(spark, copies, others):
     assert pii.different(seen.where("term = 'quibblefex'"), ["term"]).first()["n"] == others + 1
 
 
+@pytest.mark.parametrize("near", [True, False])
+def test_copies_dont_hide_a_term(spark, near):
+    """Neither of a text with the entity and its term, nor (not near) of one with the term alone."""
+    rng = random.Random(6)
+    rows = [(i, f"{prose(rng, 30)} {prose(rng, 2)} Quibblefex {prose(rng, 2)} sam@example.org {prose(rng, 30)}") for i in range(3)]
+    rows += [(1000 + i, rows[0][1] if near else "Quibblefex alone in a text of many copies") for i in range(200)]
+    rows += [(2000 + i, prose(rng, 30)) for i in range(2000)]
+    table = docs(spark, rows)
+    terms = {r["term"]: r["strength"] for r in pii.disclosing_terms(table, pii.base_table(table)).collect()}
+    n = len(rows)
+    assert terms["quibblefex"] == pytest.approx(math.log(n / (3 if near else 4)) / math.log(n / 3))
+
+
 def test_rows_and_columns_stay(spark):
     table = docs(spark, ODD)
     got = pii.sanitise(table)

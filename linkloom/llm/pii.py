@@ -126,8 +126,8 @@ def _bands(texts: list[str], hashes: WordHashes) -> list[list[int]]:
     return out
 
 
-def _contexts(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[int, str, int]]:
-    """(entity, term, context) for words near entities: entity and context as 64-bit hashes."""
+def _contexts(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[int, str]]:
+    """(entity, term) for words near entities: the entity as a 64-bit hash."""
     import xxhash
 
     spans = sorted((s, e, k) for k, x in found.items() for s, e in x)
@@ -141,15 +141,15 @@ def _contexts(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[
         hi = int(np.searchsorted(starts, end)) + RADIUS
         near = [t for m in words[lo:hi] if not within(m) and len(t := term_of(m[0])) > 1]
         value = text[start:end].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[start:end])
-        entity, context = signed(f"{kind}:{value}"), signed(" ".join(near))
-        out += [(entity, t, context) for t in dict.fromkeys(near)]
+        entity = signed(f"{kind}:{value}")
+        out += [(entity, t) for t in dict.fromkeys(near)]
     return out
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, counts, base_sha256, base (spans), contexts array<struct<entity, term, context>>, bands."""
+    """doc_id, text_hash, counts, base_sha256, base (spans), contexts array<struct<entity, term>>, bands."""
     small_text_batches(docs.sparkSession)
-    item = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64())])
+    item = pa.struct([("entity", pa.int64()), ("term", pa.string())])
     names = ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "contexts", "bands"]
     types = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(item), pa.list_(pa.int64())]
 
@@ -163,13 +163,13 @@ def base_table(docs: DataFrame) -> DataFrame:
             for doc_id, text, bands in zip(batch.column(0).to_pylist(), texts, _bands(texts, hashes), strict=True):
                 found = base_spans(text)
                 base = joined([(k, s, e) for k in KINDS for s, e in found[k]])
-                contexts = [{"entity": x, "term": t, "context": c} for x, t, c in _contexts(text, found)] if base else []
+                contexts = [{"entity": x, "term": t} for x, t in _contexts(text, found)] if base else []
                 row = [doc_id, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, *(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, contexts, bands]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-    schema = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts array<struct<entity:long,term:string,context:long>>, bands array<long>"
+    schema = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts array<struct<entity:long,term:string>>, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
@@ -276,9 +276,8 @@ def with_origin(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def different(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n: of how many different origins, and in how many different contexts, a key's rows are; the lesser."""
-    count = lambda c: rows.select(*keys, c).distinct().groupBy(*keys).agg(F.count("*").alias(f"n_{c}"))
-    return count("origin").join(count("context"), keys).select(*keys, F.least("n_origin", "n_context").alias("n"))
+    """keys, n: of how many different origins a key's rows are. Equal words around an entity in unlike texts count for each text."""
+    return rows.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def origins_with(docs: DataFrame, base: DataFrame, terms: DataFrame, known: DataFrame) -> DataFrame:

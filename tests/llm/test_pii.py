@@ -131,6 +131,14 @@ def test_copies_dont_hide_a_term(spark, near):
     assert terms["quibblefex"] == pytest.approx(math.log(n / (3 if near else 4)) / math.log(n / 3))
 
 
+def test_a_fixed_signature_counts_in_every_unlike_text(spark):
+    rng = random.Random(7)
+    rows = [(i, f"{prose(rng, 60)} kind regards Quibblefex desk sam@example.org") for i in range(50)] + [(1000 + i, prose(rng, 30)) for i in range(500)]
+    table = docs(spark, rows)
+    assert "quibblefex" in {r["term"] for r in pii.disclosing_terms(table, pii.base_table(table)).collect()}
+    assert all("Quibblefex" not in r["text"] for r in pii.sanitise(table).where("doc_id < 1000").collect())
+
+
 def test_rows_and_columns_stay(spark):
     table = docs(spark, ODD)
     got = pii.sanitise(table)

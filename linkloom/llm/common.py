@@ -5,15 +5,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch that carries texts; they bound what a Python worker holds at once.
-TEXT_ROWS_PER_BATCH, TEXT_BYTES_PER_BATCH = 256, 32 << 20
+#: Texts that a Python worker turns into objects at once.
+TEXT_ROWS_PER_BATCH = 256
 #: Rows that one group of a ranking window may reach on average before it is split further.
 ROWS_PER_SALT = 5_000
 
@@ -42,24 +44,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_text_batches(spark: SparkSession) -> None:
-    """Long texts come in batches of few rows and bytes, so a worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES_PER_BATCH))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that a worker holds few texts as Python objects at once. Their bytes are bounded by
+    spark.sql.execution.arrow.maxBytesPerBatch; the session's settings stay as they are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def rank_in_groups(df: DataFrame, key: str, order: list[str], rows: int, rank: str = "rank") -> DataFrame:
-    """Adds rank (long, from 0, gapless within key), the same in every run for the same rows.
+def rank_in_groups(df: DataFrame, key: str, order: list[str], counts: dict[int, int], rank: str = "rank") -> DataFrame:
+    """Adds rank (long, from 0, gapless within key), the same in every run for the same rows. counts: rows of each key, a long or int.
 
-    A key may hold most of the rows: rows are salted by a hash of what orders them, numbered within
-    (key, salt), and shifted by the number of rows of the key's smaller salts."""
-    salts = max(1, -(-rows // ROWS_PER_SALT))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    A key may hold most of the rows: such a key's rows are salted by a hash of what orders them, by as many salts as its own
+    count asks for, numbered within (key, salt), and shifted by the number of rows of the key's smaller salts."""
+    hot = [(int(k), -(-n // ROWS_PER_SALT)) for k, n in counts.items() if n > ROWS_PER_SALT]  # at most rows / ROWS_PER_SALT of them, and no more than keys
+    salts = df.sparkSession.createDataFrame(hot, "__key long, __salts long")
+    salted = df.join(F.broadcast(salts), F.col(key) == F.col("__key"), "left")
+    salted = salted.withColumn("__salt", F.pmod(F.xxhash64(*order), F.coalesce("__salts", F.lit(1))).cast("int"))
     before = Window.partitionBy(key).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = salted.groupBy(key, "__salt").agg(F.count("*").alias("__n")).select(key, "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    local = Window.partitionBy(key, "__salt").orderBy(*order)
-    numbered = salted.withColumn("__local", F.row_number().over(local).cast("long") - 1)
-    return numbered.join(shift, [key, "__salt"]).withColumn(rank, F.col("__local") + F.col("__shift")).drop("__salt", "__local", "__shift")
+    shift = salted.where("__salts IS NOT NULL").groupBy(key, "__salt").agg(F.count("*").alias("__n")).select(key, "__salt", F.sum("__n").over(before).alias("__shift"))
+    numbered = salted.withColumn("__local", F.row_number().over(Window.partitionBy(key, "__salt").orderBy(*order)).cast("long") - 1)
+    ranked = numbered.join(shift, [key, "__salt"], "left").withColumn(rank, F.col("__local") + F.coalesce("__shift", F.lit(0)))
+    return ranked.drop("__key", "__salts", "__salt", "__local", "__shift")
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:

@@ -1,17 +1,17 @@
 """Classification of texts by compression with zstandard dictionaries.
 
 Two dictionaries are made from a bounded sample of labelled rows; a text's windows are compressed with both, and the
-normalised differences of the sizes become a calibrated score. Half of the sample makes the dictionaries, the other half
-the calibration, weighed by the classes' shares among all labels that may be learnt from.
+normalised differences of the sizes become a calibrated score. Dictionaries are calibrated on texts they were not made
+from, weighed by the classes' shares among all labels that may be learnt from.
 
 Defined results: null and empty texts score as empty texts; rows that share a doc_id count once as labels, by their
 mean; without labels of both classes the score is the share of label 1, or 0.5 without any; repeated rows score alike;
-an empty table gives no rows; columns besides doc_id and text are not read.
+an empty table gives no rows; texts of any length are scored whole, window by window; columns besides doc_id and text are
+not read, whatever their names, or are kept as they are (`keep`).
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from linkloom.llm.common import crc_mod, fresh, small_text_batches
+from linkloom.llm.common import crc_mod, fresh, sliced, written
 
 #: Labelled rows of a class that are learnt from, and the longest of them in code points.
 PER_CLASS, LONGEST = 3000, 16_384
@@ -29,14 +29,17 @@ _NO_HEADER = {"write_content_size": False, "write_dict_id": False, "write_checks
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_class: int = PER_CLASS) -> tuple[list[str], list[str], float]:
-    """Texts of label 1 and of label 0, in a seeded order, and the share of label 1; nothing of rows with crc32(doc_id) mod `mod` = held_out."""
+    """Texts of label 1 and of label 0, in a seeded order, and the share of label 1; nothing of rows with crc32(doc_id) mod `mod` = held_out.
+
+    Of every class the first per_class documents of that order that have a text of 1 to LONGEST code points."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(crc_mod(F.col("doc_id"), mod) != held_out)
     known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).alias("y"))
     share = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
     order = F.xxhash64(F.lit(label), F.col("doc_id"))
-    drawn = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (True, False)]
-    chosen = drawn[0].union(drawn[1]).select(F.col("doc_id").alias("__id"), "y", order.alias("__order"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.length("text") <= LONGEST) & (F.length("text") > 0))
+    able = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    drawn = [able.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (True, False)]
+    chosen = written(drawn[0].union(drawn[1]).select(F.col("doc_id").alias("__id"), "y", order.alias("__order")), "labelled")  # 2 * per_class rows
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).orderBy("__order", "doc_id", F.crc32(F.col("text").cast("binary"))).limit(2 * per_class).select("y", "text").collect()  # at most 2 * per_class rows of LONGEST code points
     return [r["text"] for r in rows if r["y"]], [r["text"] for r in rows if not r["y"]], 0.5 if share is None else float(share)
 
@@ -82,15 +85,26 @@ def learn(ones: list[str], zeros: list[str], share: float, dictionaries: Callabl
     return Model(made, compressors, features, calibrate(x, np.r_[np.ones(len(ones[1::2])), np.zeros(len(zeros[1::2]))], share), share)
 
 
+def learn_crossed(ones: list[str], zeros: list[str], share: float, dictionaries: Callable, compressors: Callable, features: Callable) -> Model:
+    """Each half of the sample is measured with dictionaries made from the other half, for the calibration; the model's are made from all of it."""
+    if not ones[1::2] or not zeros[1::2]:
+        return Model((), compressors, features, None, share)
+    x, y = [], []
+    for half in (0, 1):
+        tools = compressors(dictionaries(ones[half::2], zeros[half::2]))
+        x += [features(tools, t) for t in ones[1 - half :: 2] + zeros[1 - half :: 2]]
+        y += [1] * len(ones[1 - half :: 2]) + [0] * len(zeros[1 - half :: 2])
+    return Model(dictionaries(ones, zeros), compressors, features, calibrate(np.array(x, dtype=np.float64), np.array(y), share), share)
+
+
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """doc_id (or the columns `keep`) and the score, under a name that is none of these, for every document."""
-    small_text_batches(docs.sparkSession)
     names = keep if keep is not None else ["doc_id"]
     plain = docs.select(*[docs[c] for c in names], docs["text"].cast("string").alias(fresh(docs, "whole_text")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = model.compressors(model.dictionaries) if model.fitted else []
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(batch.column(len(names)).to_pylist(), tools), pa.float64())], [*names, name])
 
     schema = StructType([*plain.schema.fields[:-1], StructField(name, DoubleType())])
@@ -114,7 +128,7 @@ def quality_dictionaries(good: list[str], bad: list[str]) -> tuple[bytes, ...]:
     lines = [list(dict.fromkeys(line for t in texts for line in t.split("\n"))) for texts in (good, bad)]
     made = []
     for own, other in ((lines[0], set(lines[1])), (lines[1], set(lines[0]))):
-        samples = [w for line in own if line not in other for w in windows((line + "\n").encode("utf-8", "surrogatepass"), QUALITY_WINDOW)][:60_000]
+        samples = [w for line in own if line not in other for w in windows((line + "\n").encode("utf-8", "surrogatepass"), QUALITY_WINDOW)]
         try:
             made.append(zstandard.train_dictionary(QUALITY_DICTIONARY, samples, level=1).as_bytes())
         except zstandard.ZstdError:  # too few samples to train on: their end is the dictionary
@@ -149,77 +163,100 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
-# Toxicity: small windows, and dictionaries that differ only in what marks toxic texts.
+# Toxicity: small windows, coded so that every letter of a match counts, and a toxic dictionary laid over the ordinary one.
 
 TOXIC_WINDOW = 128
 TOXIC_MOD, TOXIC_HELD_OUT, TOXIC_THRESHOLD = 5, 0, 0.5
-ORDINARY_BYTES = 24_000
-#: A beginning of a word marks toxic texts if it has at least this share of their words' different places, three of them,
-#: and this many times as much of them as it has in ordinary texts.
-SUPPORT, LIFT = 0.0002, 15
-_SHORTEST, _WORDS_EACH = 4, 4
-_PLAIN = bytes(32 if c in b"\t\n\v\f\r.,!?;:\"'()[]" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of the two dictionaries, and the trainer's segment and match lengths for the toxic one.
+ORDINARY_BYTES, TOXIC_BYTES = 64_000, 4096
+_SEGMENT, _MATCH = 24, 6
+#: The toxic dictionary is trained on the parts of toxic texts whose strings of GRAM bytes stand in at least SUPPORT of the
+#: toxic texts (three, where that is more) and in LIFT times the share of ordinary ones: what both classes hold says nothing.
+GRAM, SUPPORT, LIFT = 7, 0.02, 25
+#: Saved bytes at which a window counts half as a hit: a match of a coded word saves about ten, of chance two.
+HALF_HIT = 5.0
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def plain(text: str) -> bytes:
-    """A-Z in lower case, stops and white space as spaces."""
-    return b" " + text.encode("utf-8", "surrogatepass").translate(_PLAIN) + b" "
-
-
-def _beginnings(texts: list[str]) -> tuple[Counter, Counter, int]:
-    """How often each beginning of a word, and each word, stands between different neighbours; the number of all such places.
+    """A-Z in lower case, all other ASCII as single spaces."""
+    return b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()) + b" "
+
+
+def _strings(raw: bytes, size: int) -> np.ndarray:
+    """All strings of `size` (at most 8) bytes, each as a number."""
+    b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(b) - size + 1), dtype=np.uint64)
+    for i in range(size if len(out) else 0):
+        out = (out << np.uint64(8)) | b[i : i + len(out)]
+    return out
+
+
+def coded(raw: bytes) -> bytes:
+    """Two bytes of hash for every three bytes in a row: literals cost their full size, so what a dictionary holds shows in a window's size."""
+    x = _strings(raw, 3).astype(np.uint32) * np.uint32(0x9E3779B1)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA77)
+    return (x >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def telling_parts(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The longest parts of toxic texts that are covered by strings which are common in them and rare in ordinary texts."""
+    own = [_strings(plain(t), GRAM) for t in toxic]
+    counts = lambda many: np.unique(np.concatenate([np.unique(x) for x in many]), return_counts=True)
+    (a, n), (b, m) = counts(own), counts([_strings(plain(t), GRAM) for t in ordinary])
+    at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+    other = np.where(b[at] == a, m[at], 0) if len(b) else np.zeros(len(a))
+    telling = a[(n >= max(3, SUPPORT * len(toxic))) & (n / len(toxic) >= LIFT * (other + 0.3) / len(ordinary))]
+    parts = []
+    for text, strings in zip(toxic, own, strict=True):
+        raw = plain(text)
+        starts = np.flatnonzero(np.isin(strings, telling))
+        covered = np.zeros(len(raw) + 1, dtype=np.int64)
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, starts + GRAM, -1)
+        edges = np.flatnonzero(np.diff(np.r_[0, (np.cumsum(covered) > 0).astype(np.int8), 0]))
+        parts += [raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)]
+    return parts
+
+
+def trained(samples: list[bytes], size: int, segment: int, match: int) -> bytes:
+    """A dictionary by zstandard's trainer; of samples too few to train on, their end."""
+    import zstandard
 
-    A word between the same two neighbours counts once, so edited copies of a text hardly count again."""
-    starts, words, seen = Counter(), Counter(), set()
-    for text in texts:
-        w = plain(text).split()
-        for place in zip([b"", *w], w, [*w[1:], b""], strict=False):
-            if place not in seen:
-                seen.add(place)
-                own = b" " + place[1] + b" "
-                words[own] += 1
-                starts.update([own[:k] for k in range(_SHORTEST, min(len(own), 12) + 1)])
-    return starts, words, len(seen)
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=match).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:] or b"\0" * 8
 
 
 def toxic_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, ...]:
-    """Common ordinary words, before them noise in one dictionary and toxic words in the other, equally long."""
-    (pt, wt, nt), (po, wo, no) = _beginnings(toxic), _beginnings(ordinary)
-    least = max(3, SUPPORT * nt)
-    marks = {p for p, n in pt.items() if n >= least and n >= LIFT * (po[p] * nt / max(1, no) + 0.3)}
-    first = {p for p in marks if not any(p[:k] in marks for k in range(_SHORTEST, len(p)))}
-    under: dict[bytes, list] = {p: [] for p in first}
-    for w, n in wt.items():
-        for k in range(_SHORTEST, len(w) + 1):
-            if w[:k] in first:
-                under[w[:k]].append((n, w))
-                break
-    segments = sorted(s for found in under.values() for s in sorted(found, reverse=True)[:_WORDS_EACH])
-    special = b"".join(w for _, w in segments)[-32_000:]
-    base = b"".join(w for w, _ in sorted(wo.items(), key=lambda x: (x[1], x[0])))[-ORDINARY_BYTES:]
-    noise = np.random.default_rng(0).integers(0, 8, len(special)).astype(np.uint8).tobytes()
-    return noise + base + b" " * 8, special + base + b" " * 8
+    """A dictionary trained on windows of ordinary texts, and one trained on the telling parts of toxic texts, laid before
+    the ordinary one: what is ordinary lies at the same distance for both, so sizes differ by what is toxic alone."""
+    usual = trained([coded(w) for t in ordinary for w in windows(plain(t), TOXIC_WINDOW)], ORDINARY_BYTES, 64, 8)
+    parts = [coded(p) for p in telling_parts(toxic, ordinary)]
+    return usual, trained([b"".join(parts[i : i + 4]) for i in range(0, len(parts), 4)], TOXIC_BYTES, _SEGMENT, _MATCH) + usual
 
 
 def toxic_compressors(dictionaries: tuple[bytes, ...]) -> list:
     import zstandard as z
 
-    how = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, strategy=z.STRATEGY_LAZY, min_match=4, window_log=17, hash_log=15, chain_log=15, search_log=6, target_length=32, write_content_size=0, write_dict_id=0, write_checksum=0)
+    how = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, strategy=z.STRATEGY_LAZY, min_match=4, window_log=18, hash_log=16, chain_log=16, search_log=6, target_length=64, write_content_size=0, write_dict_id=0, write_checksum=0)
     return [z.ZstdCompressor(compression_params=how, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT)) for d in dictionaries]
 
 
 def toxic_features(tools: list, text: str) -> tuple[float, ...]:
-    """Bytes that the toxic dictionary saves: per window, in the best window, in the two best, the share and number of windows with any."""
-    parts = windows(plain(text), TOXIC_WINDOW)
+    """Of the bytes that the toxic dictionary saves in a window: whether the best and the second best are hits, the number and share of hits, the best."""
     ordinary, toxic = tools
-    saved = np.array([len(ordinary.compress(p)) - len(toxic.compress(p)) for p in parts], dtype=np.float64)
+    parts = [coded(w) for w in windows(plain(text), TOXIC_WINDOW)]
+    saved = np.array([0, 0, *(len(ordinary.compress(p)) - len(toxic.compress(p)) for p in parts)], dtype=np.float64)
+    hit = 1 / (1 + np.exp(HALF_HIT - saved))
     best = np.sort(saved)[-2:]
-    hits = saved >= 2
-    return saved.mean(), best[-1], best.mean(), hits.mean(), min(5.0, hits.sum())
+    high = 1 / (1 + np.exp(HALF_HIT - best))
+    return high[1], high[0], np.log1p(hit[2:].sum()), hit[2:].mean(), best[1] / (1 + best[1])
 
 
 def toxic_model(docs: DataFrame, labels: DataFrame) -> Model:
-    return learn(*labelled_sample(docs, labels, "toxic", TOXIC_MOD, TOXIC_HELD_OUT), toxic_dictionaries, toxic_compressors, toxic_features)
+    return learn_crossed(*labelled_sample(docs, labels, "toxic", TOXIC_MOD, TOXIC_HELD_OUT), toxic_dictionaries, toxic_compressors, toxic_features)
 
 
 def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

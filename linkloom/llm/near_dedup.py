@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from linkloom.llm.common import WordHashes, hashed, lower_words, mixed, shingles, small_text_batches, written
+from linkloom.llm.common import WordHashes, hashed, lower_words, mixed, shingles, sliced, written
 
 COORDINATES, POSTED = 128, 32
 POSTED_MATCHES, ALL_MATCHES = 14, 84
@@ -103,11 +103,9 @@ def _sets(texts: list[str | None], hashes: WordHashes, size: int) -> Iterator[tu
 
 def shingle_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, print1, print2 (of the set), posted (array<int>), sig (binary) for every document."""
-    small_text_batches(docs.sparkSession)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             n, print1, print2 = (np.zeros(len(texts), dtype=t) for t in (np.int64, np.uint64, np.uint64))
             sig: list[bytes | None] = [None] * len(texts)
@@ -189,7 +187,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFr
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, last_set, none = WordHashes(), None, np.empty(0, np.uint64), np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
             sets = dict(_sets(text_b, hashes, size))
             keep = []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import rank_in_groups, small_text_batches, written
+from linkloom.llm.common import rank_in_groups, sliced, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -125,12 +125,11 @@ class Encoder:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of every piece of every whole text."""
-    small_text_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = Encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end
@@ -164,7 +163,7 @@ def slot_lookup(plan: list[tuple[int, int, int, int, int, int]]) -> Callable:
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, ...) of 1 to capacity tokens."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    ranked = rank_in_groups(pieces, "length", ["doc_id", "piece", "ids_crc32", "start"], sum(histogram.values()), "__rank")
+    ranked = rank_in_groups(pieces, "length", ["doc_id", "piece", "ids_crc32", "start"], histogram, "__rank")
     placed = ranked.withColumn("__slot", slot_lookup(plan_best_fit(histogram, capacity))("length", "__rank"))
     return placed.select(*pieces.columns, "__slot.sequence_id", "__slot.offset")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import small_text_batches, total, written
+from linkloom.llm.common import sliced, total, written
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -66,10 +66,8 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, int, int, in
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the base counts, base_failed and x, the transformed vector in units of 1 / UNIT."""
-    small_text_batches(docs.sparkSession)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts = np.array([base_counts(t) for t in batch.column(3).to_pylist()], dtype=np.int64).reshape(-1, 8)
             n = np.maximum(counts[:, 0], 1)
             x = np.stack([np.log(n), np.log(np.maximum(counts[:, 1], 1) / n), np.log1p(20 * counts[:, 2] / n), np.log1p(5 * counts[:, 5] / n), np.log1p(5 * counts[:, 6] / n), counts[:, 7] / n], axis=1)

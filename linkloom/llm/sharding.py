@@ -100,7 +100,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, l
         row = table[np.searchsorted(starts, a * high + r, side="right") - 1]
         return pd.DataFrame({"shard": row[:, 3].astype(np.int32), "slot": row[:, 4] + r - row[:, 1], "home_shard": owner[a].astype(np.int32)})
 
-    ranked = rank_in_groups(keyed, "arc", ["hash", "doc_id", "text_crc32", "size"], n)
+    ranked = rank_in_groups(keyed, "arc", ["hash", "doc_id", "text_crc32", "size"], counts)
     return ranked.withColumn("__slot", slot("arc", "rank")).select("doc_id", "size", "text_crc32", "__slot.home_shard", "__slot.shard", "__slot.slot")
 
 

@@ -1,20 +1,29 @@
 """Personal data: fixed kinds found by pattern, and terms that give protected entities away.
 
-An entity is the value of a base span, in lower case and without what separates digits. Words near its occurrences are
-candidate terms. With p(e) and p(t) the numbers of origins that hold entity and term, and p(e, t) of those where the
-term stands near the entity, each over the number of rows, a term discloses PMI(e; t) of the IC(e) = -log p(e) bits of the entity. A term seen near
-the entity in texts of at least MIN_CONTEXTS different origins is generalised to its shape from
-GENERALISE of IC(e) on and removed from REMOVE on, wherever it stands. Near copies are one origin: see origins().
+What is protected are classes of entities: the value of a base span (in lower case, without what separates digits), what
+values share (an address's host and name parts, an ip's first two parts, a card's first six digits, a phone's all but the
+last seven), its kind, and that there is any entity. Terms are words and, for words with digits, their shapes. A term goes
+with a value, or what values share, where it stands within RADIUS words of the entity; with a kind, where it stands in the
+same text, the entity's own words included.
 
-There is a scan for spans and contexts, one for candidates' document counts and one for disclosing terms' places. Between scans, terms are sets of bits of a fixed size; exact terms are joined afterwards.
+With p(e) and p(t) the shares of origins that hold class and term, and p(e, t) of those where they go together, a term
+discloses PMI(e; t) of the IC(e) = -log p(e) bits of the class. From GENERALISE of IC(e) on it is generalised to its shape,
+from REMOVE on removed, wherever it stands outside of base spans. There is no fixed number of origins that it must have: the
+Chernoff bound of the chance that as many of its origins meet the class as do must be under ALPHA over the number of
+class-term pairs there are. Near copies are one origin: see origins().
+
+There is a scan for spans, contexts and, of texts with entities, distinct terms' hashes; one for candidates' counts; and one
+for disclosing terms' places. Between scans, terms are 64-bit hashes and sets of bits of a size that follows their number.
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans each; a null doc_id is kept; an
-empty table gives no rows; sanitise() keeps other columns as they are.
+empty table gives no rows; texts of any length are read whole; find_pii() reads doc_id and text alone, whatever other
+columns are named; sanitise() keeps other columns as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -24,19 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WordHashes, fresh, mixed, small_text_batches, written
+from linkloom.llm.common import WordHashes, fresh, mixed, sliced, written
 from linkloom.llm.near_dedup import SHINGLE, _functions, _sets, components
 
 KINDS = ("email", "ip", "card", "phone")
 RADIUS = 6
-MIN_CONTEXTS = 3
+#: The chance, over all pairs of class and term, that a term that has nothing to do with a class passes.
+ALPHA = 0.01
 #: Texts that agree in a band, some of their signatures' coordinates together, are of one origin. Of copies with a fifth of their
 #: shingles changed 1e-5 stay apart; of texts with a tenth of their shingles in common 0.02 come together.
 BANDS, COORDINATES_PER_BAND = 16, 3
 _WORDS_AT_ONCE = 400_000
 GENERALISE, REMOVE = 0.8, 0.9
-#: Bits of the set of terms that is handed to scans.
-FILTER_BITS = 1 << 22
+#: Least and most bits of the sets that are handed to scans, and bits for each member between these. The most is 32 MB.
+FEWEST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 16
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match that begins within a run of digits would have begun at its start; so no start after a digit need be tried.
@@ -45,6 +55,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_RUN = re.compile(r"[^\W_]+")
+_PART = re.compile(r"[^\W\d_]{3,}")
 _EDGES = ".,;:!?\"'()[]{}<>"
 
 
@@ -126,80 +138,142 @@ def _bands(texts: list[str], hashes: WordHashes) -> list[list[int]]:
     return out
 
 
-def _contexts(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[int, str]]:
-    """(entity, term) for words near entities: the entity as a 64-bit hash."""
-    import xxhash
+def shape_of(word: str) -> str | None:
+    """For a word with a digit: its runs of digits, of letters and of both as 0, a and x with their lengths (a without), other characters as they are."""
+
+    def run(m: re.Match) -> str:
+        digits = sum(c.isdigit() for c in m[0])
+        return "a" if not digits else f"{'0' if digits == len(m[0]) else 'x'}{len(m[0])}"
+
+    return f"~{_RUN.sub(run, word)}" if _DIGIT.search(word) else None
+
+
+def terms_of(word: str) -> tuple[str, ...]:
+    """The terms that a word of a text stands for."""
+    term = term_of(word)
+    if len(term) < 2:
+        return ()
+    shape = shape_of(term)
+    return (term, shape) if shape else (term,)
+
+
+class TermHashes(dict):
+    """word -> hashes of its terms; forgets all once it holds `most` words, so its memory is bounded."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out = tuple(map(_spark_hash, terms_of(word)))
+        return out
+
+
+def classes(kind: str, raw: str) -> list[str]:
+    """What of an entity recurs: its value and what it shares with other values."""
+    if kind == "email":
+        name, _, host = raw.lower().rpartition("@")
+        return [f"email:{raw.lower()}", f"host:{host}", *(f"name:{p}" for p in dict.fromkeys(_PART.findall(name)))]
+    value = re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", raw)
+    shared = ".".join(value.split(".")[:2]) if kind == "ip" else value[:6] if kind == "card" else value[:-7]
+    return [f"{kind}:{value}", f"{kind} of:{shared}"]
+
 
+def _contexts(text: str, found: dict[str, list[tuple[int, int]]], hashes: TermHashes) -> tuple[list[tuple[int, int]], list[int]]:
+    """(class, term) for words near entities, but for what covers them, and the distinct terms of the text, as hashes."""
     spans = sorted((s, e, k) for k, x in found.items() for s, e in x)
     words = list(_WORD.finditer(text))
     starts = np.array([m.start() for m in words])
-    within = lambda m: any(s < m.end() and m.start() < e for s, e, _ in spans)
-    signed = lambda x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - 2**63
-    out = []
+    ends = [m.end() for m in words]
+    out: dict[tuple[int, int], None] = {}
+    edges = np.array([(s, e) for s, e, _ in spans])
+    upto = np.maximum.accumulate(edges[:, 1])  # the last end of the spans so far
     for start, end, kind in spans:
         lo = max(0, int(np.searchsorted(starts, start, "right")) - 1 - RADIUS)
         hi = int(np.searchsorted(starts, end)) + RADIUS
-        near = [t for m in words[lo:hi] if not within(m) and len(t := term_of(m[0])) > 1]
-        value = text[start:end].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[start:end])
-        entity = signed(f"{kind}:{value}")
-        out += [(entity, t) for t in dict.fromkeys(near)]
-    return out
+        near = dict.fromkeys(t for i in range(lo, min(hi, len(words))) if not _meets(edges, upto, int(starts[i]), ends[i]) for t in hashes[words[i][0]])
+        for c in classes(kind, text[start:end]):
+            entity = _spark_hash(c)
+            out.update(dict.fromkeys((entity, t) for t in near))
+    return list(out), list({t for m in words for t in hashes[m[0]]})
+
+
+def _meets(edges: np.ndarray, upto: np.ndarray, start: int, end: int) -> bool:
+    """Whether [start, end) meets one of the spans, which are sorted by start."""
+    before = int(np.searchsorted(edges[:, 0], end)) - 1
+    return before >= 0 and bool(upto[before] > start)
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, counts, base_sha256, base (spans), contexts array<struct<entity, term>>, bands."""
-    small_text_batches(docs.sparkSession)
-    item = pa.struct([("entity", pa.int64()), ("term", pa.string())])
-    names = ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "contexts", "bands"]
-    types = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(item), pa.list_(pa.int64())]
+    """doc_id, text_hash, counts, base_sha256, base (spans), mask (of kinds), contexts array<struct<entity, term>>, terms array<long>, bands."""
+    item = pa.struct([("entity", pa.int64()), ("term", pa.int64())])
+    names = ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "mask", "contexts", "terms", "bands"]
+    types = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int32(), pa.list_(item), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes = WordHashes()
-        for batch in batches:
+        hashes, terms_hashes = WordHashes(), TermHashes()
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in names]
             texts = [text or "" for text in batch.column(1).to_pylist()]
             for doc_id, text, bands in zip(batch.column(0).to_pylist(), texts, _bands(texts, hashes), strict=True):
                 found = base_spans(text)
                 base = joined([(k, s, e) for k in KINDS for s, e in found[k]])
-                contexts = [{"entity": x, "term": t} for x, t in _contexts(text, found)] if base else []
-                row = [doc_id, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, *(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, contexts, bands]
+                contexts, terms = _contexts(text, found, terms_hashes) if base else ([], [])
+                contexts = [{"entity": x, "term": t} for x, t in contexts]
+                mask = sum(1 << i for i, k in enumerate(KINDS) if found[k])
+                row = [doc_id, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, *(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, mask, contexts, terms, bands]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-    schema = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts array<struct<entity:long,term:string>>, bands array<long>"
+    schema = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mask int, contexts array<struct<entity:long,term:long>>, terms array<long>, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
-def _bits(bits: DataFrame) -> np.ndarray:
-    """The set of the column's bits, of FILTER_BITS; what comes to the driver is bounded by that number."""
-    rows = bits.toDF("bit").distinct().groupBy((F.col("bit") / 65536).cast("int").alias("page")).agg(F.collect_list((F.col("bit") % 65536).cast("int")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS, dtype=bool)
-    for r in rows:
+def _bits(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """The set of the column's hashes as packed bits, and how many bits it has: BITS_EACH for each, within the bounds."""
+    rows = hashes.toDF("hash").distinct()
+    size = FEWEST_BITS
+    members = rows.count()
+    while size < min(MOST_BITS, BITS_EACH * members):
+        size *= 2
+    pages = rows.select(F.pmod("hash", F.lit(size)).alias("bit")).distinct().groupBy((F.col("bit") / 65536).cast("int").alias("page")).agg(F.collect_list((F.col("bit") % 65536).cast("int")).alias("bits"))
+    out = np.zeros(size, dtype=bool)
+    for r in pages.toLocalIterator():  # a page is at most 65536 bits
         out[r["page"] * 65536 + np.array(r["bits"])] = True
-    return np.packbits(out)
+    return np.packbits(out), size
+
+
+class _Set:
+    """Tests hashes against packed bits, without unpacking them."""
+
+    def __init__(self, packed: np.ndarray, size: int):
+        self.packed, self.size = packed, size
+
+    def __contains__(self, value: int) -> bool:
+        bit = value % self.size
+        return bool(self.packed[bit >> 3] >> (7 - (bit & 7)) & 1)
 
 
 def _scan(docs: DataFrame, terms: DataFrame, schema: str, emit: Callable) -> DataFrame:
-    """Runs emit(doc_id, text, test) over all texts, with test(term) true for at least the terms; its batches are the result."""
-    known = {}
-    packed = _bits(terms.select(F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))))
-    small_text_batches(docs.sparkSession)
+    """Runs emit(batches, test) over all texts, with test[word] the word's terms that may be of `terms` (a column of hashes)."""
+    packed, size = _bits(terms)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed)
+        known = _Set(packed, size)
 
         class Test(dict):
-            def __missing__(self, word: str) -> str | None:
+            def __missing__(self, word: str) -> tuple[str, ...]:
                 if len(self) > 400_000:
                     self.clear()
-                term = term_of(word)
-                self[word] = term if len(term) > 1 and bits[_spark_hash(term) % FILTER_BITS] else None
-                return self[word]
+                self[word] = out = tuple(t for t in terms_of(word) if _spark_hash(t) in known)
+                return out
 
-        yield from emit(batches, Test(known))
+        yield from emit(sliced(batches), Test())
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
@@ -212,22 +286,22 @@ def _spark_hash(term: str) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def _count(packed: np.ndarray) -> Callable:
+def _count(packed: np.ndarray, size: int) -> Callable:
     """Emits term, text_hash, n: numbers of texts without a copy, with a null hash, and every text whose hash's bit is in the set."""
 
     def emit(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        bits = np.unpackbits(packed)
+        shared = _Set(packed, size)
         counts: Counter = Counter()
         as_batch = lambda t, h, n: pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["term", "text_hash", "n"])
         single = lambda: as_batch(list(counts), [None] * len(counts), list(counts.values()))
         for batch in batches:
             copied: dict[tuple[str, int], None] = {}
             for text in batch.column(1).to_pylist():
-                if found := {t for w in set(_WORD.findall(text or "")) if (t := test[w])}:
+                if found := {t for w in set(_WORD.findall(text or "")) for t in test[w]}:
                     key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
-                    if bits[key % FILTER_BITS]:
+                    if key in shared:
                         copied.update(dict.fromkeys((t, key) for t in found))
                     else:
                         counts.update(found)
@@ -249,14 +323,17 @@ def _locate(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.Record
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             places = []
             for m in _WORD.finditer(text or ""):
-                if t := test[m[0]]:
+                for t in test[m[0]]:
                     start = m.start() + len(m[0]) - len(m[0].lstrip(_EDGES))
                     places.append((t, start, start + len(m[0].strip(_EDGES))))
             if places:
+                edges = np.array(sorted(x for found in base_spans(text).values() for x in found)).reshape(-1, 2)
+                upto = np.maximum.accumulate(edges[:, 1])
                 key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
                 for t, s, e in places:
-                    for column, value in zip(out, (doc_id, key, t, s, e), strict=True):
-                        column.append(value)
+                    if not len(edges) or not _meets(edges, upto, s, e):
+                        for column, value in zip(out, (doc_id, key, t, s, e), strict=True):
+                            column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "text_hash", "term", "start", "end"])
 
 
@@ -281,36 +358,65 @@ def different(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def origins_with(docs: DataFrame, base: DataFrame, terms: DataFrame, known: DataFrame) -> DataFrame:
-    """term, n_t: how many different origins hold it."""
+    """text (of the term), term (its hash), n_t: how many different origins hold it. terms: their hashes."""
     copied = base.groupBy("text_hash").agg(F.count("*").alias("c")).where("c > 1").select("text_hash").union(known.select("text_hash"))
-    packed = _bits(copied.select(F.pmod("text_hash", F.lit(FILTER_BITS))))
-    texts = _scan(docs, terms, "term string, text_hash long, n long", _count(packed)).groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
+    texts = _scan(docs, terms, "term string, text_hash long, n long", _count(*_bits(copied))).groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
     by_origin = with_origin(texts, known).groupBy("term", "origin").agg(F.sum("n").alias("n"))
-    return by_origin.groupBy("term").agg(F.sum(F.when(F.col("origin").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+    return by_origin.groupBy(F.col("term").alias("text"), F.xxhash64("term").alias("term")).agg(F.sum(F.when(F.col("origin").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+
+
+#: Classes of kinds, by their bit of a text's mask; any entity at all is the last.
+_ANY = len(KINDS)
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """term, strength (largest share of an entity's information), kind (generalised or removed)."""
+def of_kinds(base: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entity (a kind's number), term, n_et, and entity, n_e: of texts with an entity, counted in origins."""
+    texts = base.where("mask > 0").groupBy("text_hash").agg(F.first("mask").alias("mask"), F.first("terms").alias("terms"))
+    texts = written(with_origin(texts, known.withColumn("grouped", F.lit(True))), "pii-texts")
+    alone, grouped = texts.where("grouped IS NULL"), texts.where("grouped")
+    with_any = F.col("mask") + F.lit(1 << _ANY)
+    holds = [F.col("mask").bitwiseAND(F.lit(1 << k)) > 0 for k in range(_ANY + 1)]
+    counts = [F.sum(x.cast("long")).alias(f"k{i}") for i, x in enumerate(holds)]
+    apart = lambda df: F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("entity"), F.col(f"k{i}").alias("n")) for i in range(_ANY + 1)]))
+    exploded = lambda df: df.select("origin", with_any.alias("mask"), F.explode("terms").alias("term"))
+    own = exploded(alone).groupBy("term").agg(*counts)
+    met = exploded(grouped).groupBy("term", "origin").agg(F.bit_or("mask").alias("mask")).groupBy("term").agg(*counts)
+    pairs = own.union(met).groupBy("term").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(_ANY + 1)])
+    kinds = texts.groupBy("origin").agg(F.bit_or(with_any).alias("mask")).agg(*counts)
+    return pairs.select("term", apart(pairs)).where("n > 0").select("entity", "term", F.col("n").alias("n_et")), kinds.select(apart(kinds)).where("n > 0").withColumnRenamed("n", "n_e")
+
+
+def weighed(docs: DataFrame, base: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """entity (its hash or kind), term (its hash), text, n_e, n_t, n_et, n, strength: the pairs of class and term that chance doesn't explain."""
     known = origins(base)
     seen = with_origin(base.select(F.explode("contexts").alias("c"), "text_hash").select("c.*", "text_hash").distinct(), known)
     seen = written(seen, "pii-contexts")
-    near = different(seen, ["entity", "term"]).withColumnRenamed("n", "n_et").where(F.col("n_et") >= min_contexts)
-    near = written(near, "pii-candidates")
-    entities = different(seen, ["entity"]).withColumnRenamed("n", "n_e")
-    terms = near.select("term").distinct()
-    counts = origins_with(docs, base, terms, known)
-    total = base.count()
-    weighed = near.join(entities, "entity").join(counts, "term")
-    n = F.lit(float(total))
-    information = F.log(n / F.least(F.col("n_e"), n - 1))
-    strength = F.log(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et"))) / information
-    found = weighed.groupBy("term").agg(F.max(strength).alias("strength")).where(F.col("strength") >= generalise)
+    kind_pairs, kind_sizes = of_kinds(base, known)
+    near = written(different(seen, ["entity", "term"]).withColumnRenamed("n", "n_et").union(kind_pairs), "pii-pairs")
+    entities = written(different(seen, ["entity"]).withColumnRenamed("n", "n_e").union(kind_sizes), "pii-entities")
+    sizes = near.agg(F.countDistinct("entity"), F.countDistinct("term")).first()
+    n = float(base.select("text_hash").distinct().join(known, "text_hash", "left").agg(F.countDistinct(F.coalesce("origin", "text_hash"))).first()[0])
+    enough = math.log(max(1, sizes[0]) * max(1, sizes[1]) / alpha)
+    chance = lambda holders: F.col("n_et") * F.log(F.col("n_et") * n / (F.col("n_e") * holders)) - F.col("n_et") + F.col("n_e") * holders / n
+    # With fewer holders than n_et no term can do better, so what fails then needs no count.
+    able = written(near.join(entities, "entity").where(chance(F.col("n_et")) >= enough), "pii-candidates")
+    counts = origins_with(docs, base, able.select("term").distinct(), known)
+    holders = F.greatest("n_t", "n_et")
+    information = F.log(n / F.least(F.col("n_e"), F.lit(max(1.0, n - 1))))
+    strength = F.log(F.col("n_et") * n / (F.col("n_e") * holders)) / information
+    return able.join(counts, "term").where(chance(holders) >= enough).withColumns({"n": F.lit(n), "strength": strength})
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """term, strength (largest share of a class's information), kind (generalised or removed)."""
+    found = weighed(docs, base, alpha).groupBy(F.col("text").alias("term")).agg(F.max("strength").alias("strength")).where(F.col("strength") >= generalise)
     return written(found.withColumn("kind", F.when(F.col("strength") >= remove, "removed").otherwise("generalised")), "pii-terms")
 
 
 def added_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, text_hash, added (spans by kind, then start) for documents that hold disclosing terms."""
-    places = _scan(docs, terms, "doc_id long, text_hash long, term string, start int, end int", _locate).join(terms, "term")
+    """doc_id, text_hash, added (spans by kind, then start) for documents that hold disclosing terms outside of base spans; a place that is of two kinds is removed."""
+    places = _scan(docs, terms.select(F.xxhash64("term")), "doc_id long, text_hash long, term string, start int, end int", _locate).join(terms, "term")
+    places = places.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("kind").alias("kind"))
     return written(places.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added")), "pii-added")
 
 
@@ -319,10 +425,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base = written(base_table(docs), "pii-base")
     added = added_spans(docs, disclosing_terms(docs, base))
     if not added.take(1):
-        return base.drop("contexts", "bands").withColumns({"added": F.lit(None).cast("array<struct<kind:string,start:int,end:int>>"), "spans": F.col("base")})
+        return base.drop("contexts", "terms", "bands", "mask").withColumns({"added": F.lit(None).cast("array<struct<kind:string,start:int,end:int>>"), "spans": F.col("base")})
     more = added.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "added")
     text = F.array_join(F.transform("added", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    found = base.drop("contexts", "bands").join(more, base["doc_id"].eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").drop("__d", "__h")
+    found = base.drop("contexts", "terms", "bands", "mask").join(more, base["doc_id"].eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").drop("__d", "__h")
     return found.withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).when(F.col("base") == "", text).otherwise(F.concat_ws(",", "base", text)))
 
 
@@ -357,7 +463,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for text, spans in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 if text:
@@ -376,4 +482,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 def op9_disclosure_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    n_added = F.coalesce(F.size("added"), F.lit(0)).cast("long")
+    n_spans = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.greatest(n_added, F.lit(0))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", n_spans.alias("n_spans"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from linkloom.plans.shipping import ship
 
 #: Texts that a Python worker turns into objects at once.
 TEXT_ROWS_PER_BATCH = 256
@@ -44,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, work: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow, with the package's code at hand for workers that don't have it."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that a worker holds few texts as Python objects at once. Their bytes are bounded by
     spark.sql.execution.arrow.maxBytesPerBatch; the session's settings stay as they are."""

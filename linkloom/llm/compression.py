@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from linkloom.llm.common import crc_mod, fresh, sliced, written
+from linkloom.llm.common import crc_mod, fresh, in_arrow, sliced, written
 
 #: Labelled rows of a class that are learnt from, and the longest of them in code points.
 PER_CLASS, LONGEST = 3000, 16_384
@@ -108,7 +108,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(batch.column(len(names)).to_pylist(), tools), pa.float64())], [*names, name])
 
     schema = StructType([*plain.schema.fields[:-1], StructField(name, DoubleType())])
-    return plain.mapInArrow(work, schema)
+    return in_arrow(plain, work, schema)
 
 
 def windows(raw: bytes, size: int) -> list[bytes]:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from linkloom.llm.common import WordHashes, hashed, lower_words, mixed, shingles, sliced, written
+from linkloom.llm.common import WordHashes, hashed, in_arrow, lower_words, mixed, shingles, sliced, written
 
 COORDINATES, POSTED = 128, 32
 POSTED_MATCHES, ALL_MATCHES = 14, 84
@@ -138,7 +138,7 @@ def shingle_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print1", "print2", "posted", "sig"])
 
     schema = "doc_id long, n_shingles long, print1 long, print2 long, posted array<int>, sig binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, schema)
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,7 +199,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
     joined = pairs.join(of("b"), "b").join(of("a"), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    return in_arrow(joined.select("a", "b", "text_a", "text_b"), check, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def rest_candidates(posts: DataFrame, labels: DataFrame) -> DataFrame:
             columns.append(pa.nulls(len(rows), pa.int64()) if dense else pa.array(group[_NODE][other]))
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, _TYPES, strict=True)], names)
 
-    return spread.mapInArrow(compare, ", ".join(f"{n} {t.simpleString()}" for n, t in ((f.name, f.dataType) for f in dealt.schema)) + ", other long")
+    return in_arrow(spread, compare, ", ".join(f"{n} {t.simpleString()}" for n, t in ((f.name, f.dataType) for f in dealt.schema)) + ", other long")
 
 
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
@@ -347,7 +347,7 @@ def linked_inside(members: DataFrame, texts: DataFrame, size: int = SHINGLE) ->
                         b.append(int(max(node[x], node[y])))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(check, "a long, b long").distinct()
+    return in_arrow(rows.repartition(*by).sortWithinPartitions(*by), check, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

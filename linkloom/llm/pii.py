@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WordHashes, fresh, mixed, sliced, written
+from linkloom.llm.common import WordHashes, fresh, in_arrow, mixed, sliced, written
 from linkloom.llm.near_dedup import SHINGLE, _functions, _sets, components
 
 KINDS = ("email", "ip", "card", "phone")
@@ -231,7 +231,7 @@ def base_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     schema = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mask int, contexts array<struct<entity:long,term:long>>, terms array<long>, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, schema)
 
 
 def _bits(hashes: DataFrame) -> tuple[np.ndarray, int]:
@@ -275,7 +275,7 @@ def _scan(docs: DataFrame, terms: DataFrame, schema: str, emit: Callable) -> Dat
 
         yield from emit(sliced(batches), Test())
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, schema)
 
 
 def _spark_hash(term: str) -> int:
@@ -474,7 +474,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     plain = found.select(*[docs[c] for c in names], docs["text"].cast("string").alias("text"), more)
     schema = plain.drop(more).schema
-    clean = plain.mapInArrow(work, schema)
+    clean = in_arrow(plain, work, schema)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return clean.select(*docs.columns)

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,53 @@ def test_repeated_and_null_ids(spark):
     assert got == [(7, 1, 8), (8, 1, 7)]
 
 
+def measured(x, n_queries=100):
+    """The index of rows x and the share of all rows that a query reads, over all its tables, counted by brute force."""
+    queries = x[:n_queries]
+    near = []
+    for i, q in enumerate(queries):
+        d = ((x - q) ** 2).sum(1)
+        d[i] = np.inf
+        near.append(x[np.argsort(d)[:10]])
+    index = ann.fit(x[: ann.SAMPLE], queries, near, len(x))
+    seen = np.zeros((len(queries), len(x)), dtype=bool)
+    for t in range(ann.TABLES):
+        seen |= index.costs(index.places(queries, t), np.floor(index.places(x, t))) <= index.reach
+    return index, seen.mean()
+
+
+def test_candidates_are_a_small_and_falling_share():
+    """On clustered rows below a tenth; on isotropic ones, the worst there are, the share falls with the rows."""
+    rng = np.random.default_rng(5)
+    clustered = rng.normal(size=(200, 32))[rng.integers(200, size=20_000)] * 2 + rng.normal(size=(20_000, 32)) * 0.3
+    assert measured(clustered)[1] < 0.1
+    isotropic = rng.normal(size=(32_000, 32))
+    shares = [measured(isotropic[:n])[1] for n in (500, 4000, 32_000)]
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.5 * shares[0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_embeddings(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()
+    x, ids = np.array([r["embedding"] for r in rows], dtype=np.float64), np.array([r["vec_id"] for r in rows])
+    got = {}
+    for r in ann.op10_multiprobe_pstable(spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = wanted = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        best = set(ids[np.lexsort((ids, d))[:10]].tolist())
+        hits, wanted = hits + len(best & got[int(ids[q])]), wanted + len(best)
+    assert set(got) == set(ids[ids % 100 == 0].tolist()) and hits >= 0.9 * wanted
+
+
+def test_extra_columns(spark):
+    t = table(spark, [[1, 0], [0, 1], [1, 1]]).withColumn("part", F.lit(1)).withColumn("slice", F.lit("x")).withColumn("score", F.lit(None)).withColumn("tab", F.lit(2.5))
+    assert ann.search(t, t).count() == 6
+
+
 @pytest.mark.parametrize("vectors", [[], [[1, 2]], [None, [0, 0]]])
 def test_few_rows(spark, vectors):
     t = table(spark, vectors)

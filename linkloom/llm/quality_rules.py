@@ -1,13 +1,20 @@
 """Quality rules: base counts, then robust multivariate outliers by minimum covariance determinant.
 
 Per language and source, concentration steps look for the share of documents whose statistic vectors have the smallest
-covariance determinant, start from coordinate-wise medians and quartiles, and reject vectors of great Mahalanobis distance.
-A step is one aggregation: sums, by group and bin of distance, of whole-number vectors and their products. So any group,
-however hot, is summed up before it is shuffled, all documents count, and the sums don't depend on their order.
+covariance determinant. They start from coordinate-wise medians and quartiles, from mean and covariance of all rows, and of
+DRAWS seeded parts of the rows; of what the starts lead to, the estimate of the least determinant is kept (that of the
+covariance with the variances of STATISTICS added, so a constant statistic doesn't make it zero). A step is one aggregation:
+sums, by group, start and bin of distance, of whole-number vectors and their products. So any group, however hot, is summed
+up before it is shuffled, all documents count, and the sums don't depend on their order.
+
+A vector is rejected where its squared Mahalanobis distance is beyond the chi-square quantile (with distances scaled so the
+group's median is the normal one) and beyond the outer fence of the group's own log distances, the third quartile and two
+and a half times the quartiles' range: prose has heavier tails than a normal distribution, and what is rejected must stand out of them.
 
 Defined results: null and empty texts have zero counts and fail the base rule; null lang or source is a value like
 others; groups of fewer than MIN_ROWS documents that pass the base rule are pooled by language, then altogether, and
-without MIN_ROWS there nothing is rejected; repeated rows count each; an empty table gives no rows.
+without MIN_ROWS there nothing is rejected; repeated rows count each; an empty table gives no rows; texts of any length are
+read whole; columns besides doc_id, text, lang and source are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,11 +41,14 @@ UNIT = 256
 SHARE = 0.75
 STEPS = 6
 MIN_ROWS = 60
-#: Squared distance, where the median of a group's good half is that of a normal distribution. Prose has heavy tails: what is
-#: rejected lies at twice this and more, so it takes no part in the estimate's choice.
-CUTOFF = 250.0
+#: Seeded parts of a group that steps start from, each of one in PART of its rows.
+DRAWS, PART = 2, 8
+#: Chi-square of as many degrees as there are statistics, at 0.999 and in the middle; times the quartiles' range to the fence.
+CHI_SQUARE, FENCE = 22.458, 2.5
 NORMAL_MEDIAN = 5.348
-_LOW_BIN, _HIGH_BIN = -40, 200
+#: Bins of distance for every doubling.
+_BINS = 16
+_LOW_BIN, _HIGH_BIN = -5 * _BINS, 25 * _BINS
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int, int, int, int]:
@@ -95,7 +105,7 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """grp, mu, whiten from medians and quartiles, exact in the vectors' units."""
+    """grp, start (0), mu, whiten from medians and quartiles, exact in the vectors' units."""
     bins = rows.select("grp", F.posexplode("x").alias("k", "v")).groupBy("grp", "k", "v").agg(F.count("*").alias("n"))
     order = Window.partitionBy("grp", "k").orderBy("v")
     cum = bins.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("grp", "k"))})
@@ -106,7 +116,39 @@ def _start(rows: DataFrame) -> DataFrame:
     one = quartiles.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("q2") / UNIT).alias("m"), deviation.alias("s")))).alias("c"))
     p = len(STATISTICS)
     diagonal = F.array(*[(1 / F.col("c")[i]["s"]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
-    return one.select("grp", F.transform("c", lambda c: c["m"]).alias("mu"), diagonal.alias("whiten"), F.lit(1.0).alias("scale"))
+    return one.select("grp", F.lit(0).alias("start"), F.transform("c", lambda c: c["m"]).alias("mu"), diagonal.alias("whiten"))
+
+
+def _sums() -> list[Column]:
+    p = len(STATISTICS)
+    first = [F.sum(F.col("x")[i]) for i in range(p)]
+    second = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(p) for j in range(i + 1)]
+    return [F.count("*").alias("n"), F.array(*first).alias("sums"), F.array(*second).alias("products")]
+
+
+def _moments(n: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse Cholesky factor and log determinant of the covariance, from sums in whole numbers."""
+    p = len(STATISTICS)
+    mu = sums.astype(np.float64) / n / UNIT
+    cov = np.zeros((p, p))
+    cov[np.tril_indices(p)] = products.astype(np.float64) / n / UNIT**2
+    cov = np.tril(cov) + np.tril(cov, -1).T - np.outer(mu, mu) + np.diag(np.square(list(STATISTICS.values())))
+    factor = np.linalg.cholesky(cov)
+    return mu, np.linalg.inv(factor), float(2 * np.log(np.diag(factor)).sum())
+
+
+def _moment_start(of_start: pd.DataFrame) -> pd.DataFrame:
+    r = of_start.iloc[0]
+    mu, whiten, _ = _moments(float(r["n"]), np.array(r["sums"]), np.array(r["products"]))
+    return pd.DataFrame({"grp": [r["grp"]], "start": [r["start"]], "mu": [mu.tolist()], "whiten": [whiten.ravel().tolist()]})
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """grp, start, mu, whiten: from medians (0), all rows (1) and seeded parts of them (2 on)."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: F.when(F.pmod(F.xxhash64(i, "x"), F.lit(PART)) == 0, i + 2))
+    of = rows.select("grp", "x", F.explode(F.filter(F.concat(F.array(F.lit(1)), draws), lambda i: i.isNotNull())).alias("start"))
+    moments = of.groupBy("grp", "start").agg(*_sums()).groupBy("grp", "start").applyInPandas(_moment_start, "grp string, start int, mu array<double>, whiten array<double>")
+    return _start(rows).union(moments)
 
 
 def _squared(p: int) -> Column:
@@ -114,48 +156,47 @@ def _squared(p: int) -> Column:
     return total([F.pow(total([F.col("whiten")[i * p + j] * centred[j] for j in range(i + 1)]), F.lit(2)) for i in range(p)])
 
 
-def _fit(of_group: pd.DataFrame) -> pd.DataFrame:
-    """The estimate from a group's sums by bin of distance: of the nearest SHARE of it, in whole bins."""
-    p, rows = len(STATISTICS), of_group.sort_values("bin")
+def _fit(of_start: pd.DataFrame) -> pd.DataFrame:
+    """The estimate from the sums by bin of distance: of the nearest SHARE of a group, in whole bins. Of the distances it was
+    given, the median over the normal one and the cut-off."""
+    rows = of_start.sort_values("bin")
     n = rows["n"].to_numpy(np.float64)
     upto = n.cumsum()
     last = int(np.searchsorted(upto, SHARE * upto[-1])) + 1
     first = np.stack(rows["sums"].to_numpy())[:last].astype(object).sum(axis=0)
     second = np.stack(rows["products"].to_numpy())[:last].astype(object).sum(axis=0)
-    size = float(n[:last].sum())
-    mu = first.astype(np.float64) / size / UNIT
-    cov = np.zeros((p, p))
-    cov[np.tril_indices(p)] = second.astype(np.float64) / size / UNIT**2
-    cov = np.tril(cov) + np.tril(cov, -1).T - np.outer(mu, mu) + np.diag(np.square(list(STATISTICS.values())))
-    whiten = np.linalg.inv(np.linalg.cholesky(cov))
-    middle = int(rows["bin"].iloc[int(np.searchsorted(upto, 0.5 * upto[-1]))])
-    return pd.DataFrame({"grp": [of_group["grp"].iloc[0]], "mu": [mu.tolist()], "whiten": [whiten.ravel().tolist()], "scale": [2.0 ** ((middle + 0.5) / 8) / NORMAL_MEDIAN]})
+    mu, whiten, determinant = _moments(float(n[:last].sum()), first, second)
+    q1, q2, q3 = (rows["bin"].iloc[int(np.searchsorted(upto, q * upto[-1]))] + 0.5 for q in (0.25, 0.5, 0.75))
+    scale = 2.0 ** (q2 / _BINS) / NORMAL_MEDIAN
+    cut = max(CHI_SQUARE * scale, 2.0 ** ((q3 + FENCE * (q3 - q1)) / _BINS))
+    return pd.DataFrame({"grp": [rows["grp"].iloc[0]], "start": [rows["start"].iloc[0]], "mu": [mu.tolist()], "whiten": [whiten.ravel().tolist()], "determinant": [determinant], "scale": [scale], "cut": [cut]})
 
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """grp, mu, whiten (inverse Cholesky factor of the covariance), scale (median of squared distances over the normal one)."""
-    p = len(STATISTICS)
+    """grp, mu, whiten (inverse Cholesky factor of the covariance), determinant (its logarithm), scale (median of squared
+    distances over the normal one), cut (squared distance beyond which a vector is rejected)."""
     rows = rows.where("NOT base_failed AND grp IS NOT NULL").select("grp", "x")
-    now = written(_start(rows), "rules-start")
+    now = written(_starts(rows), "rules-start")
     for step in range(steps + 1):
-        apart = rows.join(now, "grp").withColumn("d", _squared(p))
-        binned = apart.withColumn("bin", F.floor(8 * F.log2(F.greatest("d", F.lit(2.0**-5)))).cast("int")).withColumn("bin", F.greatest(F.lit(_LOW_BIN), F.least("bin", F.lit(_HIGH_BIN))))
-        sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(p)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i in range(p) for j in range(i + 1)]
-        by_bin = binned.groupBy("grp", "bin").agg(F.count("*").alias("n"), *sums)
-        by_bin = by_bin.select("grp", "bin", "n", F.array(*[f"s{i}" for i in range(p)]).alias("sums"), F.array(*[f"p{i}_{j}" for i in range(p) for j in range(i + 1)]).alias("products"))
-        fitted = by_bin.groupBy("grp").applyInPandas(_fit, "grp string, mu array<double>, whiten array<double>, scale double")
-        if step == steps:  # the last pass only measures the distances of the last estimate
-            fitted = now.drop("scale").join(fitted.select("grp", "scale"), "grp")
+        apart = rows.join(now, "grp").withColumn("d", _squared(len(STATISTICS)))  # broadcast as long as groups are few, by their size
+        binned = apart.withColumn("bin", F.floor(_BINS * F.log2(F.greatest("d", F.lit(2.0**-5)))).cast("int")).withColumn("bin", F.greatest(F.lit(_LOW_BIN), F.least("bin", F.lit(_HIGH_BIN))))
+        fitted = binned.groupBy("grp", "start", "bin").agg(*_sums()).groupBy("grp", "start").applyInPandas(_fit, "grp string, start int, mu array<double>, whiten array<double>, determinant double, scale double, cut double")
+        if step == steps - 1:  # of what the starts have led to, the least determinant
+            best = Window.partitionBy("grp").orderBy("determinant", "start")
+            fitted = fitted.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
+        if step == steps:  # the last pass only measures the distances of the kept estimate
+            fitted = now.drop("scale", "cut").join(fitted.select("grp", "scale", "cut"), "grp")
         now = written(fitted, "rules-step")
     return now
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, lang, source, base counts, base_failed, distance (squared, scaled; null where no estimate is), kept."""
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, base counts, base_failed, distance (squared, over its group's cut-off; null where no estimate is), kept."""
     rows = written(grouped(written(statistics(docs), "rules-statistics")), "rules-rows")
     found = rows.join(estimates(rows), "grp", "left")
-    distance = _squared(len(STATISTICS)) / F.col("scale")
-    return found.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).drop("grp", "mu", "whiten", "scale", "x")
+    distance = _squared(len(STATISTICS)) / F.col("cut")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= 1, F.lit(True))
+    return found.withColumn("distance", distance).withColumn("kept", kept).drop("grp", "start", "mu", "whiten", "determinant", "scale", "cut", "x")
 
 
 def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,30 @@
 """MinHash near-duplicate detection by an inverted join on signature coordinates.
 
 1. Every whole text becomes the set of its distinct word shingles, a fingerprint of that set and a signature. Equal sets
-   are one node from here on, however many copies there are.
-2. Nodes are posted under their (coordinate, value) pairs. Two signatures that agree on at least `matches` of the posting
-   coordinates must share one of the `coordinates - matches + 1` rarest pairs of each, so only those prefixes are joined,
-   and what hundreds of unlike documents share is skipped.
-3. In every list of postings the node with the most common values is the centre; each node is compared with the centres of
-   its lists, links are confirmed on the full sets, and components are formed. No list is expanded into all its pairs.
-4. What may be missing are links between nodes of a list that are still in different components. These are counted in
-   blocks: signatures are compared inside tasks, a pair only where it first meets, and those over the threshold of all
-   coordinates are confirmed on the full sets; in blocks that are dense in such pairs, inside tasks too, so that the rows of
-   all plans stay in proportion to the postings. Then components are formed again.
-
-A link of similarity 0.85 is missed where its signatures agree on fewer than 14 of 32 or 84 of 128 coordinates: a chance of
-less than 1e-7. Everything that is reported is confirmed on whole sets.
+   are one node from here on, however many copies there are: sets are taken as equal if their sizes and two 64-bit prints,
+   a sum and a mixed exclusive or of all members, are.
+2. Nodes are posted under their (coordinate, value) pairs. A pair that no other node has can't collide and is skipped; a node
+   with fewer than `matches` pairs left can't collide often enough with anyone and is skipped as a whole, so what any number
+   of unlike documents share in a passage makes no postings. Two signatures that agree on at least `matches` coordinates must
+   share one of the rarest pairs of each, its prefix, so only prefixes are joined.
+3. In every list of postings the node with the most common values is the centre; each node's collisions with the centres of
+   its lists are counted, links are confirmed on the full sets, and components are formed. No list is expanded into all its pairs.
+4. What may be missing are links between nodes of a list that are still in different components. Their collisions are counted in
+   blocks inside tasks, a pair only where it first meets, and pairs over the threshold of all coordinates are confirmed on the
+   full sets; in blocks that are dense in such pairs, inside tasks too, so that pairs stay in proportion to the postings. Then
+   components are formed again. A node of a list of L nodes in different components is dealt to L / BLOCK blocks: that is work
+   in proportion to the square of L, which only sets that agree on over half of their signatures, and yet are not linked, cause.
+
+Lists and centres of many rows are salted: postings of a key with more than HOT rows are dealt by key and node, and a text that
+is compared with many others is sent once for every CHECKS of them.
+
+A link of similarity 0.85 is missed where its signatures agree on fewer than 36 of 60 or 84 of 128 coordinates: a chance of
+less than 1e-6. Everything else that is reported is confirmed on whole sets.
 
 Defined results: null and empty texts have no shingles and no links; fewer words than a shingle make one shingle; repeated
-rows and rows that share a doc_id share a component; a null doc_id has a null component and is kept; an empty table gives
-no rows; columns besides doc_id and text are not read.
+rows and rows that share a doc_id are one node each where their sets are equal; a null doc_id has a null component and is
+kept; an empty table gives no rows; texts of any length are read whole, hashed together with others up to _WORDS_AT_ONCE words;
+columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,12 +40,15 @@ from pyspark.sql.types import IntegerType
 
 from linkloom.llm.common import WordHashes, hashed, in_arrow, lower_words, mixed, shingles, sliced, written
 
-COORDINATES, POSTED = 128, 32
-POSTED_MATCHES, ALL_MATCHES = 14, 84
+#: Posted coordinates are bits of a positive long.
+COORDINATES, POSTED = 128, 60
+POSTED_MATCHES, ALL_MATCHES = 36, 84
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 85, 100
 BLOCK = 500
 PAIRS_PER_ROW = 2
+#: Rows of a key, and comparisons with a text, that may come to one task unsplit.
+HOT, CHECKS = 2_000, 500
 _WORDS_AT_ONCE = 400_000
 _ONE = np.dtype([("posted", "<u4", POSTED), ("more", "<u2", COORDINATES - POSTED)])
 
@@ -182,24 +192,30 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    """The pairs (a, b) whose full sets are similar enough. A text a comes once for every CHECKS of its pairs, before these."""
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHECKS).cast("int").alias("salts"))
+    text = texts.select("doc_id", "text")
+    first = heads.join(text, F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), "text")
+    many = heads.where("salts > 1").withColumnRenamed("a", "many")
+    rest = pairs.join(text, F.col("b") == F.col("doc_id")).join(many, F.col("a") == F.col("many"), "left")
+    rest = rest.select("a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"), "b", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, last_set, none = WordHashes(), None, np.empty(0, np.uint64), np.empty(0, np.uint64)
+        hashes, none = WordHashes(), np.empty(0, np.uint64)
+        head, head_set = None, none
         for batch in sliced(batches):
-            a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
-            sets = dict(_sets(text_b, hashes, size))
+            a, kind, b = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            sets = dict(_sets(batch.column(4).to_pylist(), hashes, size))
             keep = []
             for i in range(len(a)):
-                if text_a[i] != last:
-                    last, last_set = text_a[i], dict(_sets([text_a[i]], hashes, size)).get(0, none)
-                if _alike(last_set, sets.get(i, none)):
+                if not kind[i]:
+                    head, head_set = a[i], sets.get(i, none)
+                elif a[i] == head and _alike(head_set, sets.get(i, none)):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    joined = pairs.join(of("b"), "b").join(of("a"), "a")
-    return in_arrow(joined.select("a", "b", "text_a", "text_b"), check, "a long, b long").distinct()
+    dealt = first.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    return in_arrow(dealt, check, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,16 +258,29 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndar
         yield held
 
 
-def rest_candidates(posts: DataFrame, labels: DataFrame) -> DataFrame:
+def salted(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings with a salt, and key, salts of keys with more than HOT of them."""
+    hot = posts.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1")
+    hot = written(hot, "dedup-hot")  # at most a row for every HOT postings
+    with_salt = posts.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return with_salt, hot
+
+
+def for_salts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of one for each key, once for every salt of the key."""
+    return rows.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
+def rest_candidates(posts: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
     """Candidates of different components that share a list, found in blocks of bounded size.
 
     A row has node and other, or, where a block holds more than PAIRS_PER_ROW pairs a row, other is null and the row is a
-    member of that block: its pairs are confirmed inside a task. So rows stay in proportion to postings."""
+    member of that block: its pairs are confirmed inside a task. So rows stay in proportion to postings. posts, hot: of salted()."""
     marked = posts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by_component = marked.groupBy("key", "component").agg(F.count("*").alias("c"))
     lists = by_component.groupBy("key").agg(F.count("*").alias("components"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("largest")).where("components > 1")
     lists = lists.select("key", F.col("largest.component").alias("main"), F.ceil(F.col("largest.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("largest.c")) / BLOCK).cast("int").alias("rests"))
-    rows = marked.join(lists, "key")
+    rows = marked.join(for_salts(lists, hot), ["key", "salt"])
     is_main = F.col("component") == F.col("main")
     block = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
     rows = rows.withColumn("block", block)
@@ -356,14 +385,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("posted").alias("posted"), F.first("sig").alias("sig"))
     nodes = written(nodes.withColumnRenamed("n_shingles", "n"), "dedup-nodes")
     posts = written(postings(nodes.select("node", "n", "posted", "sig")), "dedup-posts")
+    posts, hot = salted(posts)
     centres = posts.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"), "n", "sig")).alias("c"))
     centres = centres.select("key", (-F.col("c.order")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.sig").alias("centre_sig"))
-    near = posts.join(centres, "key").where((F.col("node") != F.col("centre")) & near_sizes("n", "centre_n"))
+    near = posts.join(for_salts(centres, hot), ["key", "salt"]).where((F.col("node") != F.col("centre")) & near_sizes("n", "centre_n"))
     near = near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "sig", "centre_sig").dropDuplicates(["a", "b"])
     near = written(near.where(_matches("sig", "centre_sig") >= ALL_MATCHES).select("a", "b"), "dedup-star")
     star = written(confirmed(near, texts_of(docs, near.select(F.explode(F.array("a", "b")).alias("node")))), "dedup-links")
     labels = written(components(star), "dedup-labels")
-    rest = written(rest_candidates(posts, labels), "dedup-rest")
+    rest = written(rest_candidates(posts, labels, hot), "dedup-rest")
     texts = texts_of(docs, rest.select("node").union(rest.select("other")).where("node IS NOT NULL"))
     pairs = rest.where("other IS NOT NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     links = written(confirmed(pairs, texts).union(linked_inside(rest.where("other IS NULL"), texts)), "dedup-links")

@@ -86,3 +86,27 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 3), (20, 21), (30, 31), (31, 32), (32, 30)]
     got = {(r["node"], r["component"]) for r in nd.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {*[(x, 1) for x in (1, 2, 3, 8, 9)], (20, 20), (21, 20), *[(x, 30) for x in (30, 31, 32)]}
+
+
+def test_a_passage_shared_by_thousands_of_unlike_texts_makes_no_postings(spark):
+    """Rows of every step stay in proportion to the texts, not to their pairs."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = " ".join(word() for _ in range(40))
+    table = docs(spark, [(i, " ".join([*(word() for _ in range(30)), passage, *(word() for _ in range(30))])) for i in range(3000)])
+    sets = nd.shingle_table(table).withColumnRenamed("n_shingles", "n").withColumnRenamed("doc_id", "node")
+    posts = nd.postings(sets.select("node", "n", "posted", "sig"))
+    assert posts.count() <= 300
+    got = nd.near_duplicates(table)
+    assert got.where("kept").count() == 3000
+
+
+def test_a_text_with_very_many_near_copies(spark, monkeypatch):
+    """Keys and centres that are split give the links that whole ones give."""
+    monkeypatch.setattr(nd, "HOT", 20)
+    monkeypatch.setattr(nd, "CHECKS", 7)
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    rows = [(1000 + i, " ".join(w if j != i % 190 else f"x{i}" for j, w in enumerate(base))) for i in range(300)]
+    got = nd.near_duplicates(docs(spark, rows)).collect()
+    assert {r["component_id"] for r in got} == {1000} and sum(r["kept"] for r in got) == 1

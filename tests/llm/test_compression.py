@@ -55,6 +55,39 @@ def test_sample_is_bounded_and_leaves_long_texts_out(spark):
     assert len(ones) <= 20 and not zeros and share == 1.0 and max(map(len, ones)) < 10
 
 
+def test_long_and_empty_texts_leave_room_for_others(spark):
+    """Rows are drawn from those that can be learnt from."""
+    rows = [(i, "a" * (c.LONGEST + 1) if i < 20 else "" if i < 25 else f"t{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(45)], "doc_id long, quality int, toxic int")
+    ones, _, _ = c.labelled_sample(docs(spark, rows), labels, "quality", 4, 9, per_class=15)
+    assert sorted(ones) == sorted(f"t{i}" for i in range(25, 40))
+
+
+def test_conflicting_labels_and_tied_scores(spark):
+    """A document with labels of both kinds counts as the majority, ties as 1; equal texts score alike."""
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (1, 1, 0), (2, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    ones, zeros, share = c.labelled_sample(docs(spark, [(1, "one"), (2, "two")]), labels, "quality", 4, 9)
+    assert (ones, zeros, share) == (["two"], ["one"], 0.5)
+
+
+def test_both_toxic_dictionaries_are_trained():
+    """What both classes hold is in neither's telling parts, and the toxic dictionary extends the ordinary one."""
+    rng = random.Random(3)
+    ordinary = [prose(rng, 80) for _ in range(200)]
+    toxic = [f"{prose(rng, 40)} {rng.choice(INSULTS)} {prose(rng, 40)}" for _ in range(200)]
+    parts = c.telling_parts(toxic, ordinary)
+    marked = [p for p in parts if any(w.encode() in p for w in INSULTS)]
+    assert len(marked) >= 200 and len(parts) <= 1.2 * len(marked)
+    usual, extended = c.toxic_dictionaries(toxic, ordinary)
+    assert extended.endswith(usual) and c.coded(b"snarkwit") in extended and c.coded(b"snarkwit") not in usual
+
+
+def test_a_very_long_text(spark):
+    table = docs(spark, [(1, "word " * 400_000), (2, "x" * 2_000_000), (3, "fine")])
+    model = c.learn_crossed(["bad snarkwit words"] * 4, ["good plain words"] * 4, 0.5, c.toxic_dictionaries, c.toxic_compressors, c.toxic_features)
+    assert all(0 <= r["score"] <= 1 for r in c.score(table, model).collect())
+
+
 @pytest.mark.parametrize("labels,score", [([], 0.5), ([(1, 1, 0)], 1.0)])
 def test_without_labels_of_both_classes(spark, labels, score):
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")

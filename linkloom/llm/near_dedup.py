@@ -111,8 +111,12 @@ def _sets(texts: list[str | None], hashes: WordHashes, size: int) -> Iterator[tu
     yield from flush()
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string")).alias("text_hash")
+
+
 def shingle_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, print1, print2 (of the set), posted (array<int>), sig (binary) for every document."""
+    """doc_id, text_hash, n_shingles, print1, print2 (of the set), posted (array<int>), sig (binary) for every document."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in sliced(batches):
@@ -144,11 +148,11 @@ def shingle_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     flush()
                     held = 0
             flush()
-            columns = [batch.column(0), pa.array(n), pa.array(print1.view(np.int64)), pa.array(print2.view(np.int64)), pa.array(posted, pa.list_(pa.int32())), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print1", "print2", "posted", "sig"])
+            columns = [batch.column(0), batch.column(2), pa.array(n), pa.array(print1.view(np.int64)), pa.array(print2.view(np.int64)), pa.array(posted, pa.list_(pa.int32())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "print1", "print2", "posted", "sig"])
 
-    schema = "doc_id long, n_shingles long, print1 long, print2 long, posted array<int>, sig binary"
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, schema)
+    schema = "doc_id long, text_hash long, n_shingles long, print1 long, print2 long, posted array<int>, sig binary"
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash(F.col("text"))), work, schema)
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -380,7 +384,7 @@ def linked_inside(members: DataFrame, texts: DataFrame, size: int = SHINGLE) ->
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+    """doc_id, n_shingles, component_id, kept, text_hash for every document."""
     sets = written(shingle_table(docs), "dedup-sets")
     nodes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("posted").alias("posted"), F.first("sig").alias("sig"))
     nodes = written(nodes.withColumnRenamed("n_shingles", "n"), "dedup-nodes")
@@ -400,13 +404,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = written(components(star.union(links)), "dedup-components") if links.take(1) else labels
     own = nodes.select(F.col("print1").alias("p1"), F.col("print2").alias("p2"), F.col("n").alias("pn"), "node").join(final, "node", "left").select("p1", "p2", "pn", F.coalesce("component", "node").alias("component"))
     match = (sets["print1"] == own["p1"]) & (sets["print2"] == own["p2"]) & (sets["n_shingles"] == own["pn"]) & sets["doc_id"].isNotNull()
-    found = sets.select("doc_id", "n_shingles", "print1", "print2").join(own, match, "left")
+    found = sets.select("doc_id", "n_shingles", "print1", "print2", "text_hash").join(own, match, "left")
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 OP6_SQL = r"""

@@ -53,3 +53,12 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    """Unlike texts of one id stay, a copy of another document goes alone, equal rows become one."""
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    table = docs(spark, [(5, a), (5, c), (5, c), (7, b), (9, b), (9, "other words that stand alone here")])
+    got = sorted((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, table, "").collect())
+    assert got == sorted([(5, a), (5, c), (7, b), (9, "other words that stand alone here")])

@@ -5,13 +5,13 @@ Defined results: an empty table passes through all stages; nulls and extra colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import fresh, written
 from linkloom.llm.compression import QUALITY_THRESHOLD, quality_model, score
 from linkloom.llm.mixing import repeat
-from linkloom.llm.near_dedup import near_duplicates
+from linkloom.llm.near_dedup import near_duplicates, text_hash
 from linkloom.llm.packing import best_fit_pack
 from linkloom.llm.pii import sanitise
 
@@ -24,15 +24,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; of rows that share a kept doc_id, one."""
-    found = written(near_duplicates(docs).select("doc_id", "kept"), "pipeline-kept").where(F.col("doc_id").isNotNull())
-    gone = written(found.where(~F.col("kept")).select("doc_id").distinct(), "pipeline-gone")
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline-repeated")
+    """One document of each group of near copies; of equal rows and of rows that share doc_id and text, one, the same in every
+    run. A text that shares its doc_id with others goes or stays by itself."""
+    found = written(near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "text_hash", "kept"), "pipeline-kept")
+    own, key = fresh(docs, "text_key"), fresh(docs, "doc_key")
+    rows = docs.withColumn(own, text_hash(F.col("text")))
+    named = lambda df: df.select(F.col("doc_id").alias(key), F.col("text_hash").alias(f"{own}_of"))
+    same = lambda: (F.col("doc_id").cast("long") == F.col(key)) & (F.col(own) == F.col(f"{own}_of"))
+    gone = written(named(found.where(~F.col("kept"))).distinct(), "pipeline-gone")
+    left = rows.join(gone, same(), "left_anti")
+    repeated = written(named(found.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")), "pipeline-repeated")
     if not repeated.take(1):
         return left.select(*docs.columns)
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    place = fresh(docs, "place")
+    order = Window.partitionBy("doc_id", own).orderBy(F.to_json(F.struct(*[docs[c] for c in docs.columns if c != "text"])))
+    once = left.join(repeated, same(), "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return left.join(repeated, same(), "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

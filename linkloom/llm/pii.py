@@ -10,7 +10,7 @@ With p(e) and p(t) the shares of origins that hold class and term, and p(e, t) o
 discloses PMI(e; t) of the IC(e) = -log p(e) bits of the class. From GENERALISE of IC(e) on it is generalised to its shape,
 from REMOVE on removed, wherever it stands outside of base spans. There is no fixed number of origins that it must have: the
 Chernoff bound of the chance that as many of its origins meet the class as do must be under ALPHA over the number of
-class-term pairs there are. Near copies are one origin: see origins().
+class-term pairs there may be (an estimate of it, as only its logarithm matters). Near copies are one origin: see origins().
 
 There is a scan for spans, contexts and, of texts with entities, distinct terms' hashes; one for candidates' counts; and one
 for disclosing terms' places. Between scans, terms are 64-bit hashes and sets of bits of a size that follows their number.
@@ -252,11 +252,11 @@ class _Set:
     """Tests hashes against packed bits, without unpacking them."""
 
     def __init__(self, packed: np.ndarray, size: int):
-        self.packed, self.size = packed, size
+        self.packed, self.size = packed.tobytes(), size
 
     def __contains__(self, value: int) -> bool:
         bit = value % self.size
-        return bool(self.packed[bit >> 3] >> (7 - (bit & 7)) & 1)
+        return self.packed[bit >> 3] >> (7 - (bit & 7)) & 1 == 1
 
 
 def _scan(docs: DataFrame, terms: DataFrame, schema: str, emit: Callable) -> DataFrame:
@@ -322,8 +322,9 @@ def _locate(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.Record
         out: list[list] = [[], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             places = []
-            for m in _WORD.finditer(text or ""):
-                for t in test[m[0]]:
+            held = {w for w in set(_WORD.findall(text or "")) if test[w]}
+            for m in _WORD.finditer(text) if held else ():
+                for t in test[m[0]] if m[0] in held else ():
                     start = m.start() + len(m[0]) - len(m[0].lstrip(_EDGES))
                     places.append((t, start, start + len(m[0].strip(_EDGES))))
             if places:
@@ -369,37 +370,41 @@ def origins_with(docs: DataFrame, base: DataFrame, terms: DataFrame, known: Data
 _ANY = len(KINDS)
 
 
-def of_kinds(base: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """entity (a kind's number), term, n_et, and entity, n_e: of texts with an entity, counted in origins."""
-    texts = base.where("mask > 0").groupBy("text_hash").agg(F.first("mask").alias("mask"), F.first("terms").alias("terms"))
-    texts = written(with_origin(texts, known.withColumn("grouped", F.lit(True))), "pii-texts")
-    alone, grouped = texts.where("grouped IS NULL"), texts.where("grouped")
-    with_any = F.col("mask") + F.lit(1 << _ANY)
-    holds = [F.col("mask").bitwiseAND(F.lit(1 << k)) > 0 for k in range(_ANY + 1)]
-    counts = [F.sum(x.cast("long")).alias(f"k{i}") for i, x in enumerate(holds)]
-    apart = lambda df: F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("entity"), F.col(f"k{i}").alias("n")) for i in range(_ANY + 1)]))
-    exploded = lambda df: df.select("origin", with_any.alias("mask"), F.explode("terms").alias("term"))
-    own = exploded(alone).groupBy("term").agg(*counts)
-    met = exploded(grouped).groupBy("term", "origin").agg(F.bit_or("mask").alias("mask")).groupBy("term").agg(*counts)
-    pairs = own.union(met).groupBy("term").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(_ANY + 1)])
-    kinds = texts.groupBy("origin").agg(F.bit_or(with_any).alias("mask")).agg(*counts)
-    return pairs.select("term", apart(pairs)).where("n > 0").select("entity", "term", F.col("n").alias("n_et")), kinds.select(apart(kinds)).where("n > 0").withColumnRenamed("n", "n_e")
+def of_kinds(texts: DataFrame, sizes: dict[int, int], n: float, enough: float) -> DataFrame:
+    """entity (a kind's number), term, n_et: of the texts with an entity (origin, grouped, mask, terms), counted in origins.
+
+    Only pairs that can pass: a term of too few texts for any kind is dropped by a plain count before kinds are told apart."""
+    least = {k: enough / max(1e-9, math.log(n / n_e) - 1 + n_e / n) for k, n_e in sizes.items() if n_e < n}
+    exploded = texts.select("origin", "grouped", F.col("mask").bitwiseOR(F.lit(1 << _ANY)).alias("mask"), F.explode("terms").alias("term"))
+    frequent = written(exploded.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min(least.values(), default=math.inf)).select("term"), "pii-frequent")
+    kept = exploded.join(frequent, "term", "left_semi")
+    counts = [F.sum((F.col("mask").bitwiseAND(F.lit(1 << k)) > 0).cast("long")).alias(f"k{k}") for k in range(_ANY + 1)]
+    met = kept.where("grouped").groupBy("term", "origin").agg(F.bit_or("mask").alias("mask")).groupBy("term").agg(*counts)
+    pairs = kept.where("grouped IS NULL").groupBy("term").agg(*counts).union(met).groupBy("term").agg(*[F.sum(f"k{k}").alias(f"k{k}") for k in range(_ANY + 1)])
+    able = F.array(*[F.struct(F.lit(k).cast("long").alias("entity"), F.col(f"k{k}").alias("n_et"), F.lit(float(least.get(k, math.inf))).alias("least")) for k in range(_ANY + 1)])
+    return pairs.select("term", F.inline(able)).where("n_et >= least").select("entity", "term", "n_et")
 
 
 def weighed(docs: DataFrame, base: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """entity (its hash or kind), term (its hash), text, n_e, n_t, n_et, n, strength: the pairs of class and term that chance doesn't explain."""
     known = origins(base)
-    seen = with_origin(base.select(F.explode("contexts").alias("c"), "text_hash").select("c.*", "text_hash").distinct(), known)
-    seen = written(seen, "pii-contexts")
-    kind_pairs, kind_sizes = of_kinds(base, known)
-    near = written(different(seen, ["entity", "term"]).withColumnRenamed("n", "n_et").union(kind_pairs), "pii-pairs")
-    entities = written(different(seen, ["entity"]).withColumnRenamed("n", "n_e").union(kind_sizes), "pii-entities")
-    sizes = near.agg(F.countDistinct("entity"), F.countDistinct("term")).first()
     n = float(base.select("text_hash").distinct().join(known, "text_hash", "left").agg(F.countDistinct(F.coalesce("origin", "text_hash"))).first()[0])
-    enough = math.log(max(1, sizes[0]) * max(1, sizes[1]) / alpha)
+    texts = base.where("mask > 0").groupBy("text_hash").agg(F.first("mask").alias("mask"), F.first("contexts").alias("contexts"), F.first("terms").alias("terms"))
+    texts = written(with_origin(texts, known.withColumn("grouped", F.lit(True))), "pii-texts")
+    seen = texts.select(F.explode("contexts").alias("c"), "origin").select("c.*", "origin")
+    entities = different(seen, ["entity"]).withColumnRenamed("n", "n_e")
+    of_kind = [F.count_distinct(F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) > 0, F.col("origin"))) for k in range(_ANY)]
+    found = texts.groupBy("origin").agg(F.bit_or("mask").alias("mask")).agg(*of_kind, F.count("*")).first()
+    sizes = {k: found[k] for k in range(_ANY + 1) if found[k]}
+    # The numbers of classes and terms only matter by their logarithms.
+    tests = (seen.agg(F.approx_count_distinct("entity")).first()[0] + len(sizes)) * texts.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+    enough = math.log(max(1, tests) / alpha)
     chance = lambda holders: F.col("n_et") * F.log(F.col("n_et") * n / (F.col("n_e") * holders)) - F.col("n_et") + F.col("n_e") * holders / n
+    near = different(seen, ["entity", "term"]).withColumnRenamed("n", "n_et").join(entities, "entity")
+    kind_sizes = docs.sparkSession.createDataFrame(list(sizes.items()), "entity long, n_e long")
+    near = near.union(of_kinds(texts, sizes, n, enough).join(kind_sizes, "entity"))
     # With fewer holders than n_et no term can do better, so what fails then needs no count.
-    able = written(near.join(entities, "entity").where(chance(F.col("n_et")) >= enough), "pii-candidates")
+    able = written(near.where(chance(F.col("n_et")) >= enough), "pii-candidates")
     counts = origins_with(docs, base, able.select("term").distinct(), known)
     holders = F.greatest("n_t", "n_et")
     information = F.log(n / F.least(F.col("n_e"), F.lit(max(1.0, n - 1))))

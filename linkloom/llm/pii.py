@@ -12,7 +12,8 @@ from REMOVE on removed, wherever it stands outside of base spans. There is no fi
 Chernoff bound of the chance that as many of its origins meet the class as do must be under ALPHA over the number of
 class-term pairs there may be (an estimate of it, as only its logarithm matters). Near copies are one origin: see origins().
 
-There is a scan for spans, contexts and, of texts with entities, distinct terms' hashes; one for candidates' counts; and one
+There is a scan for spans, contexts and, of texts with entities, distinct terms' hashes; one of a part of the texts that
+rules out common words exactly, as no term is in fewer texts than in a part of them; one for candidates' counts; and one
 for disclosing terms' places. Between scans, terms are 64-bit hashes and sets of bits of a size that follows their number.
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans each; a null doc_id is kept; an
@@ -40,6 +41,8 @@ KINDS = ("email", "ip", "card", "phone")
 RADIUS = 6
 #: The chance, over all pairs of class and term, that a term that has nothing to do with a class passes.
 ALPHA = 0.01
+#: One in so many texts is read for a first bound of how many hold a term.
+PART = 4
 #: Texts that agree in a band, some of their signatures' coordinates together, are of one origin. Of copies with a fifth of their
 #: shingles changed 1e-5 stay apart; of texts with a tenth of their shingles in common 0.02 come together.
 BANDS, COORDINATES_PER_BAND = 16, 3
@@ -286,8 +289,8 @@ def _spark_hash(term: str) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def _count(packed: np.ndarray, size: int) -> Callable:
-    """Emits term, text_hash, n: numbers of texts without a copy, with a null hash, and every text whose hash's bit is in the set."""
+def _count(packed: np.ndarray, size: int, copies: bool = True) -> Callable:
+    """Emits term, text_hash, n: numbers of texts without a copy, with a null hash, and (copies) every text whose hash's bit is in the set."""
 
     def emit(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -302,7 +305,8 @@ def _count(packed: np.ndarray, size: int) -> Callable:
                 if found := {t for w in set(_WORD.findall(text or "")) for t in test[w]}:
                     key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
                     if key in shared:
-                        copied.update(dict.fromkeys((t, key) for t in found))
+                        if copies:
+                            copied.update(dict.fromkeys((t, key) for t in found))
                     else:
                         counts.update(found)
             if copied:
@@ -358,10 +362,22 @@ def different(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def origins_with(docs: DataFrame, base: DataFrame, terms: DataFrame, known: DataFrame) -> DataFrame:
-    """text (of the term), term (its hash), n_t: how many different origins hold it. terms: their hashes."""
+def copied_texts(base: DataFrame, known: DataFrame) -> tuple[np.ndarray, int]:
+    """The set of the hashes of texts that are not the only ones of their origin."""
     copied = base.groupBy("text_hash").agg(F.count("*").alias("c")).where("c > 1").select("text_hash").union(known.select("text_hash"))
-    texts = _scan(docs, terms, "term string, text_hash long, n long", _count(*_bits(copied))).groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
+    return _bits(copied)
+
+
+def at_least(docs: DataFrame, copied: tuple[np.ndarray, int], terms: DataFrame) -> DataFrame:
+    """term (its hash), n_least: of how many origins among one in PART of the texts it is; no term is of fewer altogether."""
+    part = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(PART)) == 0)
+    texts = _scan(part, terms, "term string, text_hash long, n long", _count(*copied, copies=False))
+    return texts.groupBy(F.xxhash64("term").alias("term")).agg(F.sum("n").alias("n_least"))
+
+
+def origins_with(docs: DataFrame, copied: tuple[np.ndarray, int], terms: DataFrame, known: DataFrame) -> DataFrame:
+    """text (of the term), term (its hash), n_t: how many different origins hold it. terms: their hashes."""
+    texts = _scan(docs, terms, "term string, text_hash long, n long", _count(*copied)).groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
     by_origin = with_origin(texts, known).groupBy("term", "origin").agg(F.sum("n").alias("n"))
     return by_origin.groupBy(F.col("term").alias("text"), F.xxhash64("term").alias("term")).agg(F.sum(F.when(F.col("origin").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
 
@@ -385,8 +401,11 @@ def of_kinds(texts: DataFrame, sizes: dict[int, int], n: float, enough: float) -
     return pairs.select("term", F.inline(able)).where("n_et >= least").select("entity", "term", "n_et")
 
 
-def weighed(docs: DataFrame, base: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """entity (its hash or kind), term (its hash), text, n_e, n_t, n_et, n, strength: the pairs of class and term that chance doesn't explain."""
+def weighed(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, least: float = 0.0) -> DataFrame:
+    """entity (its hash or kind), term (its hash), text, n_e, n_t, n_et, n, strength: the pairs of class and term that chance
+    doesn't explain, of a strength of at least `least`.
+
+    A part of the texts shows of most common words that they are of too many; only the others are counted in all texts."""
     known = origins(base)
     n = float(base.select("text_hash").distinct().join(known, "text_hash", "left").agg(F.countDistinct(F.coalesce("origin", "text_hash"))).first()[0])
     texts = base.where("mask > 0").groupBy("text_hash").agg(F.first("mask").alias("mask"), F.first("contexts").alias("contexts"), F.first("terms").alias("terms"))
@@ -405,16 +424,20 @@ def weighed(docs: DataFrame, base: DataFrame, alpha: float = ALPHA) -> DataFrame
     near = near.union(of_kinds(texts, sizes, n, enough).join(kind_sizes, "entity"))
     # With fewer holders than n_et no term can do better, so what fails then needs no count.
     able = written(near.where(chance(F.col("n_et")) >= enough), "pii-candidates")
-    counts = origins_with(docs, base, able.select("term").distinct(), known)
-    holders = F.greatest("n_t", "n_et")
+    copied = copied_texts(base, known)
     information = F.log(n / F.least(F.col("n_e"), F.lit(max(1.0, n - 1))))
-    strength = F.log(F.col("n_et") * n / (F.col("n_e") * holders)) / information
-    return able.join(counts, "term").where(chance(holders) >= enough).withColumns({"n": F.lit(n), "strength": strength})
+    strength = lambda holders: F.log(F.col("n_et") * n / (F.col("n_e") * holders)) / information
+    passes = lambda holders: (chance(holders) >= enough) & (strength(holders) >= least)
+    few = able.join(at_least(docs, copied, able.select("term").distinct()), "term", "left")
+    able = written(few.where(passes(F.greatest("n_et", F.coalesce("n_least", F.lit(0))))).drop("n_least"), "pii-able")
+    counts = origins_with(docs, copied, able.select("term").distinct(), known)
+    holders = F.greatest("n_t", "n_et")
+    return able.join(counts, "term").where(passes(holders)).withColumns({"n": F.lit(n), "strength": strength(holders)})
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """term, strength (largest share of a class's information), kind (generalised or removed)."""
-    found = weighed(docs, base, alpha).groupBy(F.col("text").alias("term")).agg(F.max("strength").alias("strength")).where(F.col("strength") >= generalise)
+    found = weighed(docs, base, alpha, generalise).groupBy(F.col("text").alias("term")).agg(F.max("strength").alias("strength")).where(F.col("strength") >= generalise)
     return written(found.withColumn("kind", F.when(F.col("strength") >= remove, "removed").otherwise("generalised")), "pii-terms")
 
 

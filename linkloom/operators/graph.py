@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.checkpoints import persisted
+from linkloom.plans.shipping import ship
 
 #: Components with at most this many edges are treated whole, each inside a task.
 SMALL_COMPONENT = 100_000
@@ -118,6 +119,7 @@ def spanning_forest(edges: DataFrame, small: int | None = None) -> DataFrame:
     def solve(of_component: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(kruskal(list(of_component[["u", "v", "sim"]].itertuples(index=False, name=None))), columns=["u", "v", "sim"])
 
+    ship(edges.sparkSession)
     forest = placed.where(F.col("n_edges") <= small).groupBy("component").applyInPandas(solve, edges.select("u", "v", "sim").schema)
     large = placed.where(F.col("n_edges") > small)
     return forest.unionAll(_boruvka(large)) if large.take(1) else forest
@@ -216,6 +218,7 @@ def order_contigs(edges: DataFrame, delete_share: float = 0.9, rounds: int = 100
         out += [(k, 0, 0, x) for k, found in (("masked", masked), ("tip", tip_nodes)) for x in sorted(found)]
         return pd.DataFrame(out, columns=["kind", "chain", "idx", "contig"])
 
+    ship(edges.sparkSession)
     found = placed.where(F.col("n_edges") <= SMALL_COMPONENT).groupBy("component").applyInPandas(work, schema)
     if any_large:
         found = found.unionAll(_order_large(placed.where(F.col("n_edges") > SMALL_COMPONENT), delete_share, rounds))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from linkloom.plans.shipping import ship
 
 
 def pair_links(pairs: DataFrame, insert: int, max_insert: int = 1000) -> DataFrame:
@@ -138,4 +139,5 @@ def fill_gaps(subgraph: DataFrame, lengths: DataFrame, trunk: DataFrame, most: i
             found += [(prev, nxt, s, e, _path(parent, e)) for e in (nxt, nxt + 1) if e in parent]
         return pd.DataFrame(found if len(found) == 1 else [], columns=["prev", "next", "s", "e", "path"])
 
+    ship(marked.sparkSession)
     return marked.groupBy("prev", "next").applyInPandas(solve, "prev long, next long, s long, e long, path array<long>")

@@ -29,12 +29,12 @@ def barcodes_in_bins(positions: DataFrame, bins: DataFrame) -> DataFrame:
     return inside.groupBy("contig", "bin", "barcode").agg(F.count("*").alias("w"))
 
 
-def pair_overlaps(weights: DataFrame, node: list[str], cap: int | None = HOT_BARCODE, same: str | None = None, apart: str | None = None) -> DataFrame:
+def pair_overlaps(weights: DataFrame, node: list[str], cap: int | None = None, same: str | None = None, apart: str | None = None) -> DataFrame:
     """Pairs of nodes with `shared`, the summed least weights of the barcodes that both have.
 
     node: the columns that name a node; a pair is kept once, lower node first. same: a column that both must agree on;
-    apart: one in which they must differ. Barcodes in more than cap nodes make no candidates, but count: only where
-    there are any does it take a second join, of the candidates with all barcodes."""
+    apart: one in which they must differ. With a cap (HOT_BARCODE is the usual one), barcodes in more than cap nodes make no
+    candidates, but count: only where there are any does it take a second join, of the candidates with all barcodes."""
     keys = ["barcode"] + ([same] if same else [])
     rest = [c for c in node if c != same]
     left = weights.select(*keys, *[F.col(c).alias(f"{c}_1") for c in rest], F.col("w").alias("w_1"))

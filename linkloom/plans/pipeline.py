@@ -35,7 +35,7 @@ def _similar(stage: Stages, name: str, positions: DataFrame, contigs: DataFrame,
     node = ["contig", "bin"]
 
     def between() -> DataFrame:
-        found = similarity.with_similarity(similarity.pair_overlaps(weights, node, apart="contig"), weights, node).where(F.col("sim") >= threshold)
+        found = similarity.with_similarity(similarity.pair_overlaps(weights, node, similarity.HOT_BARCODE, apart="contig"), weights, node).where(F.col("sim") >= threshold)
         found = similarity.neighbours_only(found, chains) if chains is not None else found
         both = similarity.symmetrise(found, node, "sim")
         return both.select(F.col("contig_1").alias("c1"), F.col("bin_1").alias("b1"), F.col("contig_2").alias("c2"), F.col("bin_2").alias("b2"), "sim")
@@ -78,7 +78,7 @@ def run(spark: SparkSession, sam: DataFrame, names: DataFrame, reads: DataFrame,
     strong = pairs.strong_links(links, c.pe_max_link, c.pe_min_count)
     one = bins(pe_seeds, whole_bin("length", c.pe_margin))
     whole = stage("whole_weights", lambda: similarity.barcodes_in_bins(positions, one).select("contig", "barcode", "w"))
-    shared = similarity.symmetrise(similarity.pair_overlaps(whole, ["contig"]).where(F.col("shared") >= c.pe_shared), ["contig"], "shared")
+    shared = similarity.symmetrise(similarity.pair_overlaps(whole, ["contig"], similarity.HOT_BARCODE).where(F.col("shared") >= c.pe_shared), ["contig"], "shared")
     relations = stage("relations", lambda: shared.select(F.col("contig_1").alias("node"), F.col("contig_2").alias("other")))
     candidates = pairs.gap_candidates(ch.consecutive(trunk), relations)
     sub = pairs.subgraphs(pairs.closure(candidates), strong)

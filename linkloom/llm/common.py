@@ -94,28 +94,6 @@ def total(columns: list[Column]) -> Column:
     return reduce(add, columns)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; forgets all once it holds `most` words, so its memory is bounded."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            self[word] = value
-        return value
-
-
-def hashed(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -136,9 +114,45 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """Words of the whole text with A-Z lower-cased, as UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+#: What separates words, and what stands for each byte in a word's hash.
+_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+_OF_BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+#: Bytes of a text that are hashed at once; a text is only cut between words.
+_BYTES_AT_ONCE = 1 << 20
+
+
+def lower_bytes(text: str | None) -> bytes:
+    """The text's UTF-8 with A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gap = _GAP[data]
+    edges = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    factors = mixed(np.arange(1, int(lengths.max()) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    sums = np.add.reduceat(_OF_BYTE[data[~gap]] * factors[at], first)
+    return mixed(sums + lengths.astype(np.uint64)), starts
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in order, repeats too, and where each begins. A word's hash is the mixed sum of its bytes'
+    numbers, each times an odd number for its place."""
+    whole = np.frombuffer(data, np.uint8)
+    hashes, starts, at = [], [], 0
+    while True:
+        end = min(at + _BYTES_AT_ONCE, len(whole))
+        while end < len(whole) and not _GAP[whole[end]]:
+            step = np.flatnonzero(_GAP[whole[end : end + _BYTES_AT_ONCE]])
+            end = end + int(step[0]) if len(step) else min(end + _BYTES_AT_ONCE, len(whole))
+        found, places = _word_hashes(whole[at:end])
+        hashes.append(found)
+        starts.append(places + at)
+        at = end
+        if at >= len(whole):
+            return np.concatenate(hashes), np.concatenate(starts)

@@ -23,7 +23,7 @@ less than 1e-6. Everything else that is reported is confirmed on whole sets.
 
 Defined results: null and empty texts have no shingles and no links; fewer words than a shingle make one shingle; repeated
 rows and rows that share a doc_id are one node each where their sets are equal; a null doc_id has a null component and is
-kept; an empty table gives no rows; texts of any length are read whole, hashed together with others up to _WORDS_AT_ONCE words;
+kept; an empty table gives no rows; texts of any length are read whole, hashed together with others up to _BYTES_AT_ONCE bytes;
 columns besides doc_id and text are not read, whatever their names.
 """
 
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from linkloom.llm.common import WordHashes, hashed, in_arrow, lower_words, mixed, shingles, sliced, written
+from linkloom.llm.common import in_arrow, lower_bytes, mixed, shingles, sliced, word_hashes, written
 
 #: Posted coordinates are bits of a positive long.
 COORDINATES, POSTED = 128, 60
@@ -50,6 +50,7 @@ PAIRS_PER_ROW = 2
 #: Rows of a key, and comparisons with a text, that may come to one task unsplit.
 HOT, CHECKS = 2_000, 500
 _WORDS_AT_ONCE = 400_000
+_BYTES_AT_ONCE = 1 << 20
 _ONE = np.dtype([("posted", "<u4", POSTED), ("more", "<u2", COORDINATES - POSTED)])
 
 
@@ -72,43 +73,44 @@ def signatures(members: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(texts: list[str | None], hashes: WordHashes, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, sorted distinct shingle hashes) of every text with words; texts are hashed together up to a number of words."""
+def _sets(texts: list[str | None], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, sorted distinct shingle hashes) of every text with words; texts are hashed together up to a number of bytes."""
     factors = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(5).integers(0, 2**62, size)]
-    run: list[tuple[int, list[bytes]]] = []
+    run: list[tuple[int, bytes]] = []
 
     def flush() -> Iterator[tuple[int, np.ndarray]]:
-        if not run:
-            return
-        flat = hashed([w for _, words in run for w in words], hashes)
+        flat, starts = word_hashes(b"\n".join(data for _, data in run))
         n = len(flat) - size + 1
         if n > 0:
             acc = flat[:n] * factors[0]
             for i in range(1, size):
                 acc += flat[i : i + n] * factors[i]
             acc = mixed(acc)
+        ends = np.searchsorted(starts, np.cumsum([len(data) + 1 for _, data in run]))
         at = 0
-        for place, words in run:
-            if len(words) >= size:
-                part = np.sort(acc[at : at + len(words) - size + 1])
+        for (place, _), end in zip(run, ends.tolist(), strict=True):
+            if end - at >= size:
+                part = np.sort(acc[at : end - size + 1])
                 keep = np.empty(len(part), dtype=bool)
                 keep[0] = True
                 np.not_equal(part[1:], part[:-1], out=keep[1:])
                 yield place, part[keep]
-            else:
-                yield place, shingles(flat[at : at + len(words)], size)
-            at += len(words)
+            elif end > at:
+                yield place, shingles(flat[at:end], size)
+            at = end
         run.clear()
 
     held = 0
     for place, text in enumerate(texts):
-        if words := lower_words(text):
-            if held + len(words) > _WORDS_AT_ONCE:
+        if text:
+            data = lower_bytes(text)
+            if run and held + len(data) > _BYTES_AT_ONCE:
                 yield from flush()
                 held = 0
-            run.append((place, words))
-            held += len(words)
-    yield from flush()
+            run.append((place, data))
+            held += len(data)
+    if run:
+        yield from flush()
 
 
 def text_hash(text: Column) -> Column:
@@ -118,7 +120,6 @@ def text_hash(text: Column) -> Column:
 def shingle_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, n_shingles, print1, print2 (of the set), posted (array<int>), sig (binary) for every document."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             n, print1, print2 = (np.zeros(len(texts), dtype=t) for t in (np.int64, np.uint64, np.uint64))
@@ -140,7 +141,7 @@ def shingle_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 places.clear()
                 parts.clear()
 
-            for place, members in _sets(texts, hashes, size):
+            for place, members in _sets(texts, size):
                 places.append(place)
                 parts.append(members)
                 held += len(members)
@@ -205,11 +206,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFr
     rest = rest.select("a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"), "b", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, none = WordHashes(), np.empty(0, np.uint64)
+        none = np.empty(0, np.uint64)
         head, head_set = None, none
         for batch in sliced(batches):
             a, kind, b = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            sets = dict(_sets(batch.column(4).to_pylist(), hashes, size))
+            sets = dict(_sets(batch.column(4).to_pylist(), size))
             keep = []
             for i in range(len(a)):
                 if not kind[i]:
@@ -350,12 +351,12 @@ def linked_inside(members: DataFrame, texts: DataFrame, size: int = SHINGLE) ->
     rows = members.join(texts, F.col("node") == F.col("doc_id")).select(*names, "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, none = WordHashes(), np.empty(0, np.uint64)
+        none = np.empty(0, np.uint64)
 
         def with_sets() -> Iterator[pa.RecordBatch]:
             """Texts give way to their sets, in batches."""
             for batch in batches:
-                found = dict(_sets(batch.column(len(names)).to_pylist(), hashes, size))
+                found = dict(_sets(batch.column(len(names)).to_pylist(), size))
                 sets = pa.array([found.get(i, none).tobytes() for i in range(batch.num_rows)], pa.large_binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], sets], [*names, "set"])
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WordHashes, fresh, in_arrow, mixed, sliced, written
+from linkloom.llm.common import fresh, in_arrow, mixed, sliced, written
 from linkloom.llm.near_dedup import SHINGLE, _functions, _sets, components
 
 KINDS = ("email", "ip", "card", "phone")
@@ -106,7 +106,7 @@ def term_of(word: str) -> str:
     return word.strip(_EDGES).lower()
 
 
-def _bands(texts: list[str], hashes: WordHashes) -> list[list[int]]:
+def _bands(texts: list[str]) -> list[list[int]]:
     """BANDS 64-bit hashes of every text, each of the least values of some hash functions over the text's shingles; none without words."""
     flip, factor = _functions()
     out: list[list[int]] = [[] for _ in texts]
@@ -130,7 +130,7 @@ def _bands(texts: list[str], hashes: WordHashes) -> list[list[int]]:
         parts.clear()
 
     held = 0
-    for place, members in _sets(texts, hashes, SHINGLE):
+    for place, members in _sets(texts, SHINGLE):
         places.append(place)
         parts.append(members)
         held += len(members)
@@ -218,11 +218,11 @@ def base_table(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, terms_hashes = WordHashes(), TermHashes()
+        terms_hashes = TermHashes()
         for batch in sliced(batches):
             out: list[list] = [[] for _ in names]
             texts = [text or "" for text in batch.column(1).to_pylist()]
-            for doc_id, text, bands in zip(batch.column(0).to_pylist(), texts, _bands(texts, hashes), strict=True):
+            for doc_id, text, bands in zip(batch.column(0).to_pylist(), texts, _bands(texts), strict=True):
                 found = base_spans(text)
                 base = joined([(k, s, e) for k in KINDS for s, e in found[k]])
                 contexts, terms = _contexts(text, found, terms_hashes) if base else ([], [])

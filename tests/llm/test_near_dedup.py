@@ -110,3 +110,16 @@ def test_a_text_with_very_many_near_copies(spark, monkeypatch):
     rows = [(1000 + i, " ".join(w if j != i % 190 else f"x{i}" for j, w in enumerate(base))) for i in range(300)]
     got = nd.near_duplicates(docs(spark, rows)).collect()
     assert {r["component_id"] for r in got} == {1000} and sum(r["kept"] for r in got) == 1
+
+
+def test_sets_hold_each_distinct_shingle_once_in_odd_and_long_texts():
+    from linkloom.llm.common import lower_bytes
+    from linkloom.llm.near_dedup import _sets
+
+    texts = ["", "  ", "a", "A b", "x\x1cy z", "é f g h i j", "a b c d e a b c d e", None, "word " * 300_000 + "and a tail", "q" * 1_500_000 + " r s t u v"]
+    together = dict(_sets(texts, 5))
+    for place, text in enumerate(texts):
+        words = lower_bytes(text).split()
+        runs = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+        assert len(together.get(place, [])) == len(runs)
+        assert list(together.get(place, [])) == list(dict(_sets([text], 5)).get(0, []))

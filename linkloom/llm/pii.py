@@ -28,9 +28,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DIGIT_BYTE = re.compile(rb"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _RUN = re.compile(r"[^\W_]+")
 _PART = re.compile(r"[^\W\d_]{3,}")
 _EDGES = ".,;:!?\"'()[]{}<>"
+_EDGE_BYTES = _EDGES.encode()
 
 
 def _luhn(digits: str) -> bool:
@@ -148,7 +152,11 @@ def shape_of(word: str) -> str | None:
         digits = sum(c.isdigit() for c in m[0])
         return "a" if not digits else f"{'0' if digits == len(m[0]) else 'x'}{len(m[0])}"
 
-    return f"~{_RUN.sub(run, word)}" if _DIGIT.search(word) else None
+    if not _DIGIT.search(word):
+        return None
+    if word.isalnum():  # the usual case: a single run
+        return f"~{'0' if word.isdigit() else 'x'}{len(word)}"
+    return f"~{_RUN.sub(run, word)}"
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -216,8 +224,6 @@ def base_table(docs: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int32(), pa.list_(item), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         terms_hashes = TermHashes()
         for batch in sliced(batches):
             out: list[list] = [[] for _ in names]
@@ -237,43 +243,50 @@ def base_table(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, schema)
 
 
-def _bits(hashes: DataFrame) -> tuple[np.ndarray, int]:
-    """The set of the column's hashes as packed bits, and how many bits it has: BITS_EACH for each, within the bounds."""
-    rows = hashes.toDF("hash").distinct()
+def _bits(hashes: DataFrame) -> tuple[bytes, int]:
+    """The set of the column's hashes as packed bits, the first bit of a byte its lowest, and how many bits it has: BITS_EACH
+    for each (about), within the bounds, so what comes to the driver is MOST_BITS / 8 bytes at most."""
+    rows = hashes.toDF("hash")
     size = FEWEST_BITS
-    members = rows.count()
+    members = rows.agg(F.approx_count_distinct("hash")).first()[0]
     while size < min(MOST_BITS, BITS_EACH * members):
         size *= 2
-    pages = rows.select(F.pmod("hash", F.lit(size)).alias("bit")).distinct().groupBy((F.col("bit") / 65536).cast("int").alias("page")).agg(F.collect_list((F.col("bit") % 65536).cast("int")).alias("bits"))
-    out = np.zeros(size, dtype=bool)
-    for r in pages.toLocalIterator():  # a page is at most 65536 bits
-        out[r["page"] * 65536 + np.array(r["bits"])] = True
-    return np.packbits(out), size
+    bit = rows.select(F.pmod("hash", F.lit(size)).alias("bit"))
+    pages = bit.groupBy(F.shiftright("bit", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in pages.collect():  # pages of 4,096 bytes
+        out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes(), size
 
 
 class _Set:
-    """Tests hashes against packed bits, without unpacking them."""
+    """Tests hashes (signed or not: sizes are powers of two) against packed bits, without unpacking them."""
 
-    def __init__(self, packed: np.ndarray, size: int):
-        self.packed, self.size = packed.tobytes(), size
+    def __init__(self, packed: bytes, size: int):
+        self.packed, self.last = packed, size - 1
 
     def __contains__(self, value: int) -> bool:
-        bit = value % self.size
-        return self.packed[bit >> 3] >> (7 - (bit & 7)) & 1 == 1
+        bit = value & self.last
+        return self.packed[bit >> 3] >> (bit & 7) & 1 == 1
 
 
 def _scan(docs: DataFrame, terms: DataFrame, schema: str, emit: Callable) -> DataFrame:
-    """Runs emit(batches, test) over all texts, with test[word] the word's terms that may be of `terms` (a column of hashes)."""
+    """Runs emit(batches, test) over all texts, with test[word] the terms of the word (its UTF-8) that may be of `terms` (a column of hashes)."""
     packed, size = _bits(terms)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Set(packed, size)
 
         class Test(dict):
-            def __missing__(self, word: str) -> tuple[str, ...]:
+            def __missing__(self, word: bytes) -> tuple[str, ...]:
                 if len(self) > 400_000:
                     self.clear()
-                self[word] = out = tuple(t for t in terms_of(word) if _spark_hash(t) in known)
+                # The same as terms_of(), but most words have one term and that not of the set, so ASCII ones stay bytes.
+                term = word.strip(_EDGE_BYTES).lower() if word.isascii() else term_of(word.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")
+                if xxhash.xxh64_intdigest(term, 42) in known or _DIGIT_BYTE.search(term):
+                    self[word] = out = tuple(t for t in terms_of(word.decode("utf-8", "surrogatepass")) if _spark_hash(t) in known)
+                else:
+                    self[word] = out = ()
                 return out
 
         yield from emit(sliced(batches), Test())
@@ -283,27 +296,28 @@ def _scan(docs: DataFrame, terms: DataFrame, schema: str, emit: Callable) -> Dat
 
 def _spark_hash(term: str) -> int:
     """xxhash64 as Spark computes it, with seed 42, as a signed number."""
-    import xxhash
-
     h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42)
     return h - 2**64 if h >= 2**63 else h
 
 
-def _count(packed: np.ndarray, size: int, copies: bool = True) -> Callable:
+def _held(text: bytes | None, test: dict) -> set[str]:
+    """The terms of the text that may be of the set. Words between bytes.split()'s white space are those of _WORD."""
+    return set(chain.from_iterable(map(test.__getitem__, set((text or b"").split()))))
+
+
+def _count(packed: bytes, size: int, copies: bool = True) -> Callable:
     """Emits term, text_hash, n: numbers of texts without a copy, with a null hash, and (copies) every text whose hash's bit is in the set."""
 
     def emit(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         shared = _Set(packed, size)
         counts: Counter = Counter()
         as_batch = lambda t, h, n: pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["term", "text_hash", "n"])
         single = lambda: as_batch(list(counts), [None] * len(counts), list(counts.values()))
         for batch in batches:
             copied: dict[tuple[str, int], None] = {}
-            for text in batch.column(1).to_pylist():
-                if found := {t for w in set(_WORD.findall(text or "")) for t in test[w]}:
-                    key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                if found := _held(text, test):
+                    key = xxhash.xxh3_64_intdigest(text) - 2**63
                     if key in shared:
                         if copies:
                             copied.update(dict.fromkeys((t, key) for t in found))
@@ -320,21 +334,22 @@ def _count(packed: np.ndarray, size: int, copies: bool = True) -> Callable:
 
 
 def _locate(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             places = []
-            held = {w for w in set(_WORD.findall(text or "")) if test[w]}
-            for m in _WORD.finditer(text) if held else ():
-                for t in test[m[0]] if m[0] in held else ():
+            if not _held(data, test):
+                continue
+            text = data.decode("utf-8", "surrogatepass")
+            held = {w.decode("utf-8", "surrogatepass"): test[w] for w in set(data.split()) if test[w]}
+            for m in _WORD.finditer(text):
+                for t in held.get(m[0], ()):
                     start = m.start() + len(m[0]) - len(m[0].lstrip(_EDGES))
                     places.append((t, start, start + len(m[0].strip(_EDGES))))
             if places:
                 edges = np.array(sorted(x for found in base_spans(text).values() for x in found)).reshape(-1, 2)
                 upto = np.maximum.accumulate(edges[:, 1])
-                key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+                key = xxhash.xxh3_64_intdigest(data) - 2**63
                 for t, s, e in places:
                     if not len(edges) or not _meets(edges, upto, s, e):
                         for column, value in zip(out, (doc_id, key, t, s, e), strict=True):
@@ -362,20 +377,20 @@ def different(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def copied_texts(base: DataFrame, known: DataFrame) -> tuple[np.ndarray, int]:
+def copied_texts(base: DataFrame, known: DataFrame) -> tuple[bytes, int]:
     """The set of the hashes of texts that are not the only ones of their origin."""
     copied = base.groupBy("text_hash").agg(F.count("*").alias("c")).where("c > 1").select("text_hash").union(known.select("text_hash"))
     return _bits(copied)
 
 
-def at_least(docs: DataFrame, copied: tuple[np.ndarray, int], terms: DataFrame) -> DataFrame:
+def at_least(docs: DataFrame, copied: tuple[bytes, int], terms: DataFrame) -> DataFrame:
     """term (its hash), n_least: of how many origins among one in PART of the texts it is; no term is of fewer altogether."""
     part = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(PART)) == 0)
     texts = _scan(part, terms, "term string, text_hash long, n long", _count(*copied, copies=False))
     return texts.groupBy(F.xxhash64("term").alias("term")).agg(F.sum("n").alias("n_least"))
 
 
-def origins_with(docs: DataFrame, copied: tuple[np.ndarray, int], terms: DataFrame, known: DataFrame) -> DataFrame:
+def origins_with(docs: DataFrame, copied: tuple[bytes, int], terms: DataFrame, known: DataFrame) -> DataFrame:
     """text (of the term), term (its hash), n_t: how many different origins hold it. terms: their hashes."""
     texts = _scan(docs, terms, "term string, text_hash long, n long", _count(*copied)).groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
     by_origin = with_origin(texts, known).groupBy("term", "origin").agg(F.sum("n").alias("n"))
@@ -478,8 +493,6 @@ def masked(text: str, added: list[dict]) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with its own columns, text without personal data, and n_chars, where it is a column, counted anew."""
-    import xxhash
-
     base = written(base_table(docs), "pii-base")
     added = added_spans(docs, disclosing_terms(docs, base))
     of, more = fresh(docs, "pii_doc"), fresh(docs, "pii_added")

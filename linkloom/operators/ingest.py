@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.scalars import cigar_ops, cigar_total, flag_bits, READ_OPS, insert_size, read1_position
@@ -28,16 +28,16 @@ def masked(frequencies: DataFrame, dictionary: DataFrame, least: int = 10, most:
     return dictionary.join(frequencies, "barcode_str").select("barcode_str", F.when(keep, F.col("barcode")).otherwise(F.lit(0)).cast("long").alias("barcode"))
 
 
-def alignments(sam: DataFrame, names: DataFrame, barcodes: DataFrame) -> DataFrame:
+def alignments(sam: DataFrame, names: DataFrame, barcodes: DataFrame, position: Column | None = None) -> DataFrame:
     """read_no, read_id, contig, pos_1bp, match_reverse, barcode, is_p, pe_match, insert_size of mapped primary alignments.
 
     sam: qname, flag, rname, pos, cigar, rnext, tlen, tags; qname is name#barcode. names: read_name, read_no. Names that are not
-    known are -1, barcodes that are not known 0."""
+    known are -1, barcodes that are not known 0. position: where a read begins, if not by its own CIGAR."""
     bits = flag_bits("flag")
     rows = sam.where(~bits["unmapped"] & bits["primary"])
     rows = rows.withColumns({"read_name": F.substring_index("qname", "#", 1), "barcode_str": F.regexp_extract("qname", r"#([^/\s]+)", 1), "ops": cigar_ops("cigar", "pos"), "read_len": cigar_total("cigar", READ_OPS), "match_reverse": bits["reverse"], "is_p": bits["read1"]})
     rows = rows.withColumn("pe_match", (F.col("rnext") != "*") & ~F.exists("tags", lambda t: t.startswith("XA")))
-    rows = rows.withColumn("pos_1bp", read1_position("ops", "match_reverse", "read_len"))
+    rows = rows.withColumn("pos_1bp", read1_position("ops", "match_reverse", "read_len") if position is None else position)
     rows = rows.join(names, "read_name", "left").join(barcodes, "barcode_str", "left")
     no = F.coalesce("read_no", F.lit(-1))
     return rows.select(no.alias("read_no"), (no + (~F.col("is_p")).cast("int")).alias("read_id"), F.col("rname").cast("long").alias("contig"), "pos_1bp", "match_reverse", F.coalesce("barcode", F.lit(0)).cast("long").alias("barcode"), "is_p", "pe_match", F.col("tlen").alias("insert_size"))

@@ -8,7 +8,7 @@ import pytest
 from linkloom import catalog
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["P5_cigar_ops", "P7_read1_position", "P8_first_match", "J1_alignments"]
+NAMES = ["P5_cigar_ops", "P7_read1_position", "P8_first_match", "J1_alignments", "A2_barcode_positions"]
 
 
 @pytest.fixture(scope="module")

@@ -37,7 +37,7 @@ def weights(spark, d):  # noqa: ANN001, ANN201
 
 
 def contig_weights(spark, d):  # noqa: ANN001, ANN201
-    return ad.positions(spark, d).distinct().groupBy("contig", "barcode").agg(F.count("*").alias("w"))
+    return ad.positions(spark, d).repartition("barcode").distinct().groupBy("contig", "barcode").agg(F.count("*").alias("w"))  # dealt once, as the self-join needs it
 
 
 _CONTIG = """cw AS (SELECT contig, barcode, count(*) AS w FROM (SELECT DISTINCT * FROM positions) GROUP BY 1, 2),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.multisets import jaccard
 
 #: Barcodes of more bins than this generate no candidates (they still count towards similarity).
 HOT_BARCODE = 10_000
+#: Hot barcodes' pairs are all made while there are at most this many for each row and pair of the others.
+HOT_PAIRS = 8
 
 
 def chop_bins(contigs: DataFrame, bins: Column) -> DataFrame:
@@ -34,26 +36,30 @@ def pair_overlaps(weights: DataFrame, node: list[str], cap: int | None = None, s
 
     node: the columns that name a node; a pair is kept once, lower node first. same: a column that both must agree on;
     apart: one in which they must differ. With a cap (HOT_BARCODE is the usual one), barcodes in more than cap nodes make no
-    candidates, but count: only where there are any does it take a second join, of the candidates with all barcodes."""
+    candidates, but count: where they hold few pairs they are joined like all others and mark no pair, else they are looked up
+    for the candidates of the others."""
     keys = ["barcode"] + ([same] if same else [])
     rest = [c for c in node if c != same]
-    left = weights.select(*keys, *[F.col(c).alias(f"{c}_1") for c in rest], F.col("w").alias("w_1"))
-    right = weights.select(*keys, *[F.col(c).alias(f"{c}_2") for c in rest], F.col("w").alias("w_2"))
-    lower = F.struct(*[f"{c}_1" for c in rest]) < F.struct(*[f"{c}_2" for c in rest])
     pair = ([same] if same else []) + [f"{c}_{i}" for c in rest for i in (1, 2)]
+    lower = F.struct(*[f"{c}_1" for c in rest]) < F.struct(*[f"{c}_2" for c in rest])
     if apart:
         lower = lower & (F.col(f"{apart}_1") != F.col(f"{apart}_2"))
-    shared = F.sum(F.least("w_1", "w_2")).alias("shared")
-    hot = None
-    if cap is not None and not same:
-        hot = weights.groupBy("barcode").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("barcode")
-        if not hot.take(1):
-            hot = None
-    if hot is None:
-        return left.join(right, keys).where(lower).groupBy(*pair).agg(shared)
-    cool = lambda df: df.join(hot, "barcode", "left_anti")
-    found = cool(left).join(cool(right), keys).where(lower).select(*pair).distinct()
-    return found.join(left, [f"{c}_1" for c in rest]).join(right, ["barcode", *[f"{c}_2" for c in rest]]).groupBy(*pair).agg(shared)
+    side = lambda df, i, *more: df.select(*keys, *[F.col(c).alias(f"{c}_{i}") for c in rest], F.col("w").alias(f"w_{i}"), *more)
+    least = F.least("w_1", "w_2")
+    if cap is None or same:
+        return side(weights, 1).join(side(weights, 2), keys).where(lower).groupBy(*pair).agg(F.sum(least).alias("shared"))
+    n = F.col("n").cast("double")
+    held = weights.groupBy("barcode").agg(F.count("*").alias("n")).agg(F.sum(F.when(n > cap, n * (n - 1) / 2)).alias("hot"), F.sum(n + F.when(n > cap, 0).otherwise(n * (n - 1) / 2)).alias("cool")).first()
+    if held["hot"] is None:
+        return pair_overlaps(weights, node, apart=apart)
+    counted = weights.withColumn("cool", F.count("*").over(Window.partitionBy("barcode")) <= cap)
+    if held["hot"] <= HOT_PAIRS * held["cool"]:
+        both = side(counted, 1, "cool").join(side(counted, 2), keys).where(lower)
+        return both.groupBy(*pair).agg(F.sum(least).alias("shared"), F.max("cool").alias("cool")).where("cool").drop("cool")
+    cool, hot = counted.where("cool"), counted.where("NOT cool")
+    found = side(cool, 1).join(side(cool, 2), keys).where(lower).groupBy(*pair).agg(F.sum(least).alias("shared"))
+    more = found.select(*pair).join(side(hot, 1), [f"{c}_1" for c in rest]).join(side(hot, 2), ["barcode", *[f"{c}_2" for c in rest]])
+    return found.unionByName(more.select(*pair, least.alias("shared"))).groupBy(*pair).agg(F.sum("shared").alias("shared"))
 
 
 def with_similarity(pairs: DataFrame, weights: DataFrame, node: list[str], same: str | None = None) -> DataFrame:

@@ -140,3 +140,20 @@ def test_hot_barcodes_count_but_make_no_candidates(spark):
     rows = [(c, 1, 1) for c in range(1, 7)] + [(1, 2, 1), (2, 2, 1)]
     weights = spark.createDataFrame(rows, "contig long, barcode long, w long")
     assert [tuple(r) for r in sim.pair_overlaps(weights, ["contig"], cap=4).select("contig_1", "contig_2", "shared").collect()] == [(1, 2, 2)]
+
+
+@pytest.mark.parametrize("bound", [0, 8])
+def test_hot_barcodes_joined_or_looked_up_agree(spark, monkeypatch, bound):
+    """Pairs, and that where hot barcodes hold few pairs one join does, and no candidate meets all barcodes of one of its nodes."""
+    rows = [(c, b, 1 + (c + b) % 3) for b in range(40) for c in range(b % 7 + 1)]
+    weights = spark.createDataFrame(rows, "contig long, barcode long, w long")
+    want = {}
+    for c1, b1, w1 in rows:
+        for c2, b2, w2 in rows:
+            if b1 == b2 and c1 < c2:
+                total, cool = want.get((c1, c2), (0, False))
+                want[c1, c2] = (total + min(w1, w2), cool or b1 % 7 + 1 <= 4)
+    monkeypatch.setattr(sim, "HOT_PAIRS", bound)
+    found = sim.pair_overlaps(weights, ["contig"], cap=4)
+    assert {(r["contig_1"], r["contig_2"]): r["shared"] for r in found.collect()} == {p: total for p, (total, cool) in want.items() if cool}
+    assert (found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1) == bool(bound)

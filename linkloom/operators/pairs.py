@@ -53,15 +53,22 @@ def gap_candidates(gaps: DataFrame, relations: DataFrame, strategy: str = "union
 
 
 def hop_candidates(gaps: DataFrame, relations: DataFrame, loops: int = 2) -> DataFrame:
-    """prev, next, node: both ends' neighbours, widened loops - 1 times, then what both reach."""
-    reached = None
-    for end in ("prev", "next"):
-        at = gaps.select("prev", "next", F.col(end).alias("node"))
-        for _ in range(loops):
-            step = at.join(relations, "node").select("prev", "next", F.col("other").alias("node"))
-            at = (at.union(step) if _ else step).distinct()
-        reached = at if reached is None else reached.join(at, ["prev", "next", "node"])
-    return reached.where((F.col("node") != F.col("prev")) & (F.col("node") != F.col("next")))
+    """prev, next, node: both ends' neighbours, widened loops - 1 times, then what both reach.
+
+    What a node reaches is one set for all gaps that it ends, in words of 64 neighbouring ids: a node reaches its neighbours and
+    what these reach in a step less."""
+    bit = F.expr("shiftleft(1L, cast(other & 63L as int))")
+    first = relations.select("node", F.shiftright("other", 6).alias("word"), bit.alias("bits")).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    reach = first
+    for _ in range(loops - 1):
+        step = relations.select("node", "other").distinct().join(reach.withColumnRenamed("node", "other"), "other").select("node", "word", "bits")
+        reach = first.unionAll(step).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    of = lambda end: reach.select(F.col("node").alias(end), "word", F.col("bits").alias(f"{end}_bits"))
+    both = gaps.select("prev", "next").distinct().join(of("prev"), "prev").join(of("next"), ["next", "word"])
+    both = both.withColumn("bits", F.col("prev_bits").bitwiseAND(F.col("next_bits"))).where((F.col("bits") != 0) & F.lit(loops > 0))
+    place = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1))
+    found = both.select("prev", "next", "word", place.alias("place")).select("prev", "next", (F.col("word") * 64 + F.col("place")).alias("node"))
+    return found.where((F.col("node") != F.col("prev")) & (F.col("node") != F.col("next")))
 
 
 def closure(candidates: DataFrame) -> DataFrame:

@@ -157,3 +157,29 @@ def test_hot_barcodes_joined_or_looked_up_agree(spark, monkeypatch, bound):
     found = sim.pair_overlaps(weights, ["contig"], cap=4)
     assert {(r["contig_1"], r["contig_2"]): r["shared"] for r in found.collect()} == {p: total for p, (total, cool) in want.items() if cool}
     assert (found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1) == bool(bound)
+
+
+@pytest.mark.parametrize("loops", [1, 2, 3, 4])
+def test_hops_against_plain_search(spark, loops):
+    """Ids on both sides of words' ends, one below zero, a repeated relation and a repeated gap."""
+    steps = [(1, 3), (3, 63), (63, 64), (64, 127), (127, 129), (129, 3), (-5, 1), (3, -5), (7, 7), (7, 63), (64, 7), (3, 63)]
+    near = {a: {y for x, y in steps if x == a} for a, _ in steps}
+    want = set()
+    for a, b in [(1, 64), (3, 7), (127, 63), (-5, 999)]:
+        reached = []
+        for x in (a, b):
+            at = near.get(x, set())
+            for _ in range(loops - 1):
+                at = at | {z for y in at for z in near.get(y, ())}
+            reached.append(at)
+        want |= {(a, b, n) for n in reached[0] & reached[1] if n not in (a, b)}
+    gaps = spark.createDataFrame([(1, 64), (3, 7), (127, 63), (-5, 999), (3, 7)], "prev long, next long")
+    found = pe.hop_candidates(gaps, spark.createDataFrame(steps, "node long, other long"), loops)
+    assert sorted(map(tuple, found.select("prev", "next", "node").collect())) == sorted(want)
+
+
+def test_hops_go_by_words_of_ids(spark):
+    """Rows that steps are made of: a node's 64 neighbours are a row or two of its reach."""
+    relations = spark.range(64).select(F.col("id").alias("node")).crossJoin(spark.range(64).select(F.col("id").alias("other")))
+    plan = pe.hop_candidates(spark.createDataFrame([(1, 2)], "prev long, next long"), relations, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan

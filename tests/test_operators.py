@@ -183,3 +183,45 @@ def test_hops_go_by_words_of_ids(spark):
     relations = spark.range(64).select(F.col("id").alias("node")).crossJoin(spark.range(64).select(F.col("id").alias("other")))
     plan = pe.hop_candidates(spark.createDataFrame([(1, 2)], "prev long, next long"), relations, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_or" in plan
+
+
+def test_screening_against_plain_rounds():
+    """Random graphs with equal similarities: masked nodes, tips and chains by rounds made anew with plain Kruskal."""
+    import random
+
+    import numpy as np
+
+    for turn in range(150):
+        r = random.Random(turn)
+        rows = {}
+        for _ in range(r.randint(1, 80)):
+            x, y = sorted(r.sample(range(r.randint(2, 40)), 2))
+            rows[x, y] = r.choice([0.1, 0.2, 0.5, r.random()])
+        rows = [(u, v, s) for (u, v), s in rows.items()]
+        share, rounds = r.choice([0.9, 0.5, 0.0]), r.choice([1, 3, 1000])
+        base, nodes, masked, n = list(rows), {x for u, v, _ in rows for x in (u, v)}, set(), 0
+        first = len(nodes)
+        while True:
+            n, size, tips, cut = n + 1, len(nodes), set(), set()
+            tree = [e[:2] for e in g.kruskal(base)]
+            while size > 3:
+                degree = {x: sum(x in e for e in tree) for x in nodes}
+                found = {x for u, v in tree for x, y in ((u, v), (v, u)) if degree[x] == 1 and degree[y] > 2}
+                if not found:
+                    cut = {x for x, d in degree.items() if d > 2}
+                    break
+                tips |= found
+                tree = [e for e in tree if not found & set(e)]
+            masked, nodes = masked | cut, nodes - cut
+            base = [e for e in base if not cut & set(e[:2])]
+            if size < 4 or n >= rounds or not nodes or len(nodes) / first <= share or not cut:
+                break
+        want = sorted(g._linear([e for e in tree if not cut & set(e)])), sorted(masked), sorted(tips)
+        got = g.screen_component(*[np.array(x) for x in zip(*rows, strict=True)], share, rounds)
+        assert tuple(map(sorted, got)) == want
+
+
+def test_a_component_of_many_edges_is_screened_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(g, "_order_large", lambda *_: pytest.fail("rounds over all edges"))
+    rows = spark.range(120_000).selectExpr("id % 400 AS u", "400 + id % 401 AS v", "(id * 7919 % 100003) / 100003.0D AS sim").distinct()
+    assert g.order_contigs(rows, 0.9, 3)[1].count() > 0

@@ -12,9 +12,9 @@ from REMOVE on removed, wherever it stands outside of base spans. There is no fi
 Chernoff bound of the chance that as many of its origins meet the class as do must be under ALPHA over the number of
 class-term pairs there may be (an estimate of it, as only its logarithm matters). Near copies are one origin: see origins().
 
-There is a scan for spans, contexts and, of texts with entities, distinct terms' hashes; one of a part of the texts that
-rules out common words exactly, as no term is in fewer texts than in a part of them; one for candidates' counts; and one
-for disclosing terms' places. Between scans, terms are 64-bit hashes and sets of bits of a size that follows their number.
+There is a scan for spans, contexts and, of texts with entities and of a part of the others, distinct terms' hashes; one for
+candidates' counts; and one for disclosing terms' places. The part rules out common words exactly, as no term is in fewer texts
+than in those with entities and in a part of the others together. Between scans, terms are 64-bit hashes and sets of bits of a size that follows their number.
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans each; a null doc_id is kept; an
 empty table gives no rows; texts of any length are read whole; find_pii() reads doc_id and text alone, whatever other
@@ -43,15 +43,15 @@ KINDS = ("email", "ip", "card", "phone")
 RADIUS = 6
 #: The chance, over all pairs of class and term, that a term that has nothing to do with a class passes.
 ALPHA = 0.01
-#: One in so many texts is read for a first bound of how many hold a term.
-PART = 4
+#: Of one in so many texts without entities the terms are kept, for a first bound of how many hold a term.
+PART = 8
 #: Texts that agree in a band, some of their signatures' coordinates together, are of one origin. Of copies with a fifth of their
 #: shingles changed 1e-5 stay apart; of texts with a tenth of their shingles in common 0.02 come together.
 BANDS, COORDINATES_PER_BAND = 16, 3
 _WORDS_AT_ONCE = 400_000
 GENERALISE, REMOVE = 0.8, 0.9
 #: Least and most bits of the sets that are handed to scans, and bits for each member between these. The most is 32 MB.
-FEWEST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 16
+FEWEST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 64
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match that begins within a run of digits would have begun at its start; so no start after a digit need be tried.
@@ -208,7 +208,12 @@ def _contexts(text: str, found: dict[str, list[tuple[int, int]]], hashes: TermHa
         for c in classes(kind, text[start:end]):
             entity = _spark_hash(c)
             out.update(dict.fromkeys((entity, t) for t in near))
-    return list(out), list({t for m in words for t in hashes[m[0]]})
+    return list(out), list(_terms(text, hashes))
+
+
+def _terms(text: str, hashes: TermHashes) -> set[int]:
+    """The distinct terms of the text, as hashes."""
+    return set(chain.from_iterable(map(hashes.__getitem__, set(_WORD.findall(text)))))
 
 
 def _meets(edges: np.ndarray, upto: np.ndarray, start: int, end: int) -> bool:
@@ -218,7 +223,8 @@ def _meets(edges: np.ndarray, upto: np.ndarray, start: int, end: int) -> bool:
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, counts, base_sha256, base (spans), mask (of kinds), contexts array<struct<entity, term>>, terms array<long>, bands."""
+    """doc_id, text_hash, counts, base_sha256, base (spans), mask (of kinds), contexts array<struct<entity, term>>, terms array<long> (empty
+    for most texts without entities, see PART), bands."""
     item = pa.struct([("entity", pa.int64()), ("term", pa.int64())])
     names = ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "mask", "contexts", "terms", "bands"]
     types = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int32(), pa.list_(item), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -231,10 +237,14 @@ def base_table(docs: DataFrame) -> DataFrame:
             for doc_id, text, bands in zip(batch.column(0).to_pylist(), texts, _bands(texts), strict=True):
                 found = base_spans(text)
                 base = joined([(k, s, e) for k in KINDS for s, e in found[k]])
-                contexts, terms = _contexts(text, found, terms_hashes) if base else ([], [])
+                text_hash = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+                if base:
+                    contexts, terms = _contexts(text, found, terms_hashes)
+                else:
+                    contexts, terms = [], list(_terms(text, terms_hashes)) if text_hash % PART == 0 else []
                 contexts = [{"entity": x, "term": t} for x, t in contexts]
                 mask = sum(1 << i for i, k in enumerate(KINDS) if found[k])
-                row = [doc_id, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, *(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, mask, contexts, terms, bands]
+                row = [doc_id, text_hash, *(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, mask, contexts, terms, bands]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
@@ -305,8 +315,8 @@ def _held(text: bytes | None, test: dict) -> set[str]:
     return set(chain.from_iterable(map(test.__getitem__, set((text or b"").split()))))
 
 
-def _count(packed: bytes, size: int, copies: bool = True) -> Callable:
-    """Emits term, text_hash, n: numbers of texts without a copy, with a null hash, and (copies) every text whose hash's bit is in the set."""
+def _count(packed: bytes, size: int) -> Callable:
+    """Emits term, text_hash, n: numbers of texts without a copy, with a null hash, and every text whose hash's bit is in the set."""
 
     def emit(batches: Iterator[pa.RecordBatch], test: dict) -> Iterator[pa.RecordBatch]:
         shared = _Set(packed, size)
@@ -319,8 +329,7 @@ def _count(packed: bytes, size: int, copies: bool = True) -> Callable:
                 if found := _held(text, test):
                     key = xxhash.xxh3_64_intdigest(text) - 2**63
                     if key in shared:
-                        if copies:
-                            copied.update(dict.fromkeys((t, key) for t in found))
+                        copied.update(dict.fromkeys((t, key) for t in found))
                     else:
                         counts.update(found)
             if copied:
@@ -377,17 +386,15 @@ def different(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def copied_texts(base: DataFrame, known: DataFrame) -> tuple[bytes, int]:
-    """The set of the hashes of texts that are not the only ones of their origin."""
-    copied = base.groupBy("text_hash").agg(F.count("*").alias("c")).where("c > 1").select("text_hash").union(known.select("text_hash"))
-    return _bits(copied)
+def copied_texts(base: DataFrame, known: DataFrame) -> DataFrame:
+    """The hashes of texts that are not the only ones of their origin."""
+    return base.groupBy("text_hash").agg(F.count("*").alias("c")).where("c > 1").select("text_hash").union(known.select("text_hash"))
 
 
-def at_least(docs: DataFrame, copied: tuple[bytes, int], terms: DataFrame) -> DataFrame:
-    """term (its hash), n_least: of how many origins among one in PART of the texts it is; no term is of fewer altogether."""
-    part = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(PART)) == 0)
-    texts = _scan(part, terms, "term string, text_hash long, n long", _count(*copied, copies=False))
-    return texts.groupBy(F.xxhash64("term").alias("term")).agg(F.sum("n").alias("n_least"))
+def at_least(base: DataFrame, copied: DataFrame, terms: DataFrame) -> DataFrame:
+    """term (its hash), n_least: in how many texts it is of the part without entities whose terms are kept, copies left out."""
+    part = base.where("mask = 0 AND size(terms) > 0").join(copied, "text_hash", "left_anti").select(F.explode("terms").alias("term"))
+    return part.groupBy("term").agg(F.count("*").alias("n_least")).join(terms, "term", "left_semi")
 
 
 def origins_with(docs: DataFrame, copied: tuple[bytes, int], terms: DataFrame, known: DataFrame) -> DataFrame:
@@ -401,8 +408,9 @@ def origins_with(docs: DataFrame, copied: tuple[bytes, int], terms: DataFrame, k
 _ANY = len(KINDS)
 
 
-def of_kinds(texts: DataFrame, sizes: dict[int, int], n: float, enough: float) -> DataFrame:
-    """entity (a kind's number), term, n_et: of the texts with an entity (origin, grouped, mask, terms), counted in origins.
+def of_kinds(texts: DataFrame, sizes: dict[int, int], n: float, enough: float) -> tuple[DataFrame, DataFrame]:
+    """entity (a kind's number), term, n_et: of the texts with an entity (origin, grouped, mask, terms), counted in origins. And
+    term, n_held: of how many origins with any entity the more frequent terms are.
 
     Only pairs that can pass: a term of too few texts for any kind is dropped by a plain count before kinds are told apart."""
     least = {k: enough / max(1e-9, math.log(n / n_e) - 1 + n_e / n) for k, n_e in sizes.items() if n_e < n}
@@ -412,15 +420,17 @@ def of_kinds(texts: DataFrame, sizes: dict[int, int], n: float, enough: float) -
     counts = [F.sum((F.col("mask").bitwiseAND(F.lit(1 << k)) > 0).cast("long")).alias(f"k{k}") for k in range(_ANY + 1)]
     met = kept.where("grouped").groupBy("term", "origin").agg(F.bit_or("mask").alias("mask")).groupBy("term").agg(*counts)
     pairs = kept.where("grouped IS NULL").groupBy("term").agg(*counts).union(met).groupBy("term").agg(*[F.sum(f"k{k}").alias(f"k{k}") for k in range(_ANY + 1)])
+    pairs = written(pairs, "pii-kinds")
     able = F.array(*[F.struct(F.lit(k).cast("long").alias("entity"), F.col(f"k{k}").alias("n_et"), F.lit(float(least.get(k, math.inf))).alias("least")) for k in range(_ANY + 1)])
-    return pairs.select("term", F.inline(able)).where("n_et >= least").select("entity", "term", "n_et")
+    return pairs.select("term", F.inline(able)).where("n_et >= least").select("entity", "term", "n_et"), pairs.select("term", F.col(f"k{_ANY}").alias("n_held"))
 
 
 def weighed(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, least: float = 0.0) -> DataFrame:
     """entity (its hash or kind), term (its hash), text, n_e, n_t, n_et, n, strength: the pairs of class and term that chance
     doesn't explain, of a strength of at least `least`.
 
-    A part of the texts shows of most common words that they are of too many; only the others are counted in all texts."""
+    The texts with entities and a part of the others show of most common words that they are of too many; only the others are
+    counted in all texts."""
     known = origins(base)
     n = float(base.select("text_hash").distinct().join(known, "text_hash", "left").agg(F.countDistinct(F.coalesce("origin", "text_hash"))).first()[0])
     texts = base.where("mask > 0").groupBy("text_hash").agg(F.first("mask").alias("mask"), F.first("contexts").alias("contexts"), F.first("terms").alias("terms"))
@@ -436,16 +446,19 @@ def weighed(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, least: float
     chance = lambda holders: F.col("n_et") * F.log(F.col("n_et") * n / (F.col("n_e") * holders)) - F.col("n_et") + F.col("n_e") * holders / n
     near = different(seen, ["entity", "term"]).withColumnRenamed("n", "n_et").join(entities, "entity")
     kind_sizes = docs.sparkSession.createDataFrame(list(sizes.items()), "entity long, n_e long")
-    near = near.union(of_kinds(texts, sizes, n, enough).join(kind_sizes, "entity"))
-    # With fewer holders than n_et no term can do better, so what fails then needs no count.
-    able = written(near.where(chance(F.col("n_et")) >= enough), "pii-candidates")
-    copied = copied_texts(base, known)
+    kinds, held = of_kinds(texts, sizes, n, enough)
+    near = near.union(kinds.join(kind_sizes, "entity"))
     information = F.log(n / F.least(F.col("n_e"), F.lit(max(1.0, n - 1))))
     strength = lambda holders: F.log(F.col("n_et") * n / (F.col("n_e") * holders)) / information
     passes = lambda holders: (chance(holders) >= enough) & (strength(holders) >= least)
-    few = able.join(at_least(docs, copied, able.select("term").distinct()), "term", "left")
-    able = written(few.where(passes(F.greatest("n_et", F.coalesce("n_least", F.lit(0))))).drop("n_least"), "pii-able")
-    counts = origins_with(docs, copied, able.select("term").distinct(), known)
+    # With fewer holders than n_et no term can do better, so what fails then needs no count. Nor has it fewer than it has among
+    # origins with an entity, all of them counted, and among a part of the other texts together.
+    near = near.where(chance(F.col("n_et")) >= enough).join(held, "term", "left").withColumn("n_held", F.greatest("n_et", F.coalesce("n_held", F.lit(0))))
+    able = written(near.where(passes(F.col("n_held"))), "pii-candidates")
+    copied = copied_texts(base, known)
+    few = able.join(at_least(base, copied, able.select("term").distinct()), "term", "left").where(passes(F.col("n_held") + F.coalesce("n_least", F.lit(0))))
+    able = written(few.drop("n_held", "n_least"), "pii-able")
+    counts = origins_with(docs, _bits(copied), able.select("term").distinct(), known)
     holders = F.greatest("n_t", "n_et")
     return able.join(counts, "term").where(passes(holders)).withColumns({"n": F.lit(n), "strength": strength(holders)})
 

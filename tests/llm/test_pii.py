@@ -207,6 +207,35 @@ def test_a_fixed_signature_counts_in_every_unlike_text(spark):
     assert all("Quibblefex" not in r["text"] for r in pii.sanitise(table).where("doc_id < 1000").collect())
 
 
+def test_common_words_are_ruled_out_without_a_scan(spark, monkeypatch):
+    """Counts per task of words that stand in every text would grow with tasks times words."""
+    rng = random.Random(9)
+    usual = [f"usual{i}" for i in range(60)]
+    mixed = lambda: " ".join(rng.sample(usual, 30) + prose(rng, 20).split())
+    rows = [(i, f"{mixed()} Quibblefex desk sam{i}@example.org {mixed()}") for i in range(60)] + [(1000 + i, mixed()) for i in range(1500)]
+    table = docs(spark, rows)
+    base = pii.base_table(table)
+    held = base.where("mask = 0").select("doc_id", "text_hash", "terms").collect()
+    assert {len(r["terms"]) > 0 for r in held if r["text_hash"] % pii.PART == 0} == {True} and {len(r["terms"]) for r in held if r["text_hash"] % pii.PART} == {0}
+    counted, scan = [], pii._scan
+
+    def spied(docs, terms, schema, emit):  # noqa: ANN001, ANN202
+        counted.append({r[0] for r in terms.collect()})
+        return scan(docs, terms, schema, emit)
+
+    monkeypatch.setattr(pii, "_scan", spied)
+    found = {r["text"] for r in pii.weighed(table, base, least=pii.GENERALISE).collect()}
+    assert len(counted) == 1 and not counted[0] & {pii._spark_hash(w) for w in usual}
+    assert "quibblefex" in found and counted[0] >= set(map(pii._spark_hash, found))
+
+
+def test_sets_of_bits_hold_few_others(spark):
+    members = pii._Set(*pii._bits(spark.range(60_000).selectExpr("xxhash64(id)")))
+    tried = [r[0] for r in spark.range(60_000, 80_000).selectExpr("xxhash64(id)").collect()]
+    assert sum(x in members for x in tried) < 0.02 * len(tried)
+    assert all(r[0] in members for r in spark.range(1_000).selectExpr("xxhash64(id)").collect())
+
+
 def test_rows_and_columns_stay(spark):
     table = docs(spark, ODD)
     got = pii.sanitise(table)

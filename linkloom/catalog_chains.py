@@ -12,6 +12,7 @@ from linkloom.operators import chains as ch
 from linkloom.operators import pairs as pe
 from linkloom.operators import scaffolds as sc
 from linkloom.operators import similarity as sim
+from linkloom.operators import tiles
 from linkloom.sources import writers
 
 QUERIES: dict = {}
@@ -29,9 +30,7 @@ def query(text: str | None = None):  # noqa: ANN201
 
 
 def document_edges(spark, d, least: float = 0.02):  # noqa: ANN001, ANN201
-    w = ad.shingles(spark, d)
-    found = sim.with_similarity(sim.pair_overlaps(w, ["contig"]), w, ["contig"]).where(F.col("sim") >= least)
-    return found.select(F.col("contig_1").alias("u"), F.col("contig_2").alias("v"), "sim")
+    return tiles.similar_pairs(ad.shingle_blocks(spark, d), least).toDF("u", "v", "sim")
 
 
 # Ends of contigs: weights in head and tail bins, similarities in both directions, in millionths so that both engines agree.

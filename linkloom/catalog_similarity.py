@@ -10,6 +10,7 @@ from linkloom.catalog_scalars import _equal_sql
 from linkloom.functions import scalars as s
 from linkloom.operators import multisets as m
 from linkloom.operators import similarity as sim
+from linkloom.operators import tiles
 from linkloom.sources import writers
 
 QUERIES: dict = {}
@@ -121,9 +122,7 @@ def F13_neighbours_only(spark, d):  # noqa: ANN001, ANN201, N802
 @query(sql("shingles", also="""st AS (SELECT contig, sum(w) AS t FROM shingles GROUP BY 1),
 shared AS (SELECT a.contig AS contig_1, b.contig AS contig_2, sum(least(a.w, b.w))::BIGINT AS shared FROM shingles a JOIN shingles b ON a.barcode = b.barcode AND a.contig < b.contig GROUP BY 1, 2)""") + f"SELECT contig_1, contig_2, {_PPM} FROM shared JOIN st p ON p.contig = contig_1 JOIN st q ON q.contig = contig_2 WHERE shared / (p.t + q.t - shared)::DOUBLE >= 0.02")
 def J4_document_shingles(spark, d):  # noqa: ANN001, ANN201, N802
-    w = ad.shingles(spark, d)
-    found = sim.with_similarity(sim.pair_overlaps(w, ["contig"]), w, ["contig"])
-    return found.where(F.col("sim") >= 0.02).select("contig_1", "contig_2", s.ppm("sim").alias("ppm"))
+    return tiles.similar_pairs(ad.shingle_blocks(spark, d), 0.02).select("contig_1", "contig_2", s.ppm("sim").alias("ppm"))
 
 
 def _order_sets(spark, d):  # noqa: ANN001, ANN202

@@ -12,7 +12,6 @@ from linkloom.operators import chains as ch
 from linkloom.operators import pairs as pe
 from linkloom.operators import scaffolds as sc
 from linkloom.operators import similarity as sim
-from linkloom.operators import tiles
 from linkloom.sources import writers
 
 QUERIES: dict = {}
@@ -29,10 +28,6 @@ def query(text: str | None = None):  # noqa: ANN201
     return register
 
 
-def document_edges(spark, d, least: float = 0.02):  # noqa: ANN001, ANN201
-    return tiles.similar_pairs(ad.shingle_blocks(spark, d), least).toDF("u", "v", "sim")
-
-
 # Ends of contigs: weights in head and tail bins, similarities in both directions, in millionths so that both engines agree.
 
 _ENDS = """bins AS (SELECT contig, 0 AS bin, 1 AS start, least(length // 2 - 1, 1200) AS "end" FROM contigs UNION ALL SELECT contig, 1, greatest(length // 2, length - 1199), length FROM contigs),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom import catalog
+from linkloom.operators import graph as g
 from linkloom.operators import tiles
 
 
@@ -60,3 +61,33 @@ def test_pairs_are_never_dealt(spark):
     """Disk is to grow with the texts, not with the pairs."""
     plan = catalog.queries()["J4_document_shingles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "contig_1" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_forests_and_rounds_without_all_pairs(spark):
+    rows, least = made(9, 90), 0.05
+    blocks = index(spark, rows, 20)
+    pairs = [(u, v, sim) for (u, v), sim in expected(rows, least).items()]
+    got = g.spanning_forest(tiles.forest_edges(blocks, least)).collect()
+    assert sorted(map(tuple, got)) == sorted(g.kruskal(pairs))
+    gone = spark.createDataFrame([(i,) for i in range(0, 90, 4)], "node long")
+    got = g.spanning_forest(tiles.forest_edges(blocks, least, gone)).collect()
+    assert sorted(map(tuple, got)) == sorted(g.kruskal([p for p in pairs if not any(x < 90 and x % 4 == 0 for x in p[:2])]))
+
+
+def test_rounds_by_forests(spark):
+    rng = random.Random(2)
+    edges = [(max(0, i - rng.randint(1, 6)), i, rng.random()) for i in range(1, 120)] + [(i, i + 9, rng.random() / 2) for i in range(0, 100, 5)] + [(500, 501, 0.1)]
+    table = spark.createDataFrame(list({e[:2]: e for e in edges}.values()), "u long, v long, sim double")
+    want = g.order_contigs(table, 0.5)
+    got = g.order_by_forests(lambda gone: table if gone is None else g.without_nodes(table, gone), 0.5)
+    for one, other in zip(got, want, strict=True):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    once = g.order_contigs(table, 0.5, 1)[1].count()
+    assert 0 < once < want[1].count()  # more than one round
+
+
+def test_strongest_is_kruskal():
+    rng = np.random.default_rng(3)
+    edges = [(int(u), int(v), float(s)) for u, v, s in zip(rng.integers(0, 30, 200), rng.integers(30, 60, 200), rng.integers(0, 5, 200), strict=True)]
+    edges = list({e[:2]: e for e in edges}.values())
+    assert list(zip(*(x.tolist() for x in g.strongest(*map(np.array, zip(*edges, strict=True)))), strict=True)) == g.kruskal(edges)

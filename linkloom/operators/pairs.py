@@ -5,8 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from linkloom.checkpoints import persisted
+from linkloom.operators.hops import reached_by_both
 from linkloom.plans.shipping import ship
 
+#: Rows of a step up to which it is always a join; times that a row of a join is dearer than a word of bits in a task.
+JOINED, DEARER = 20_000_000, 1000
+
 
 def pair_links(pairs: DataFrame, insert: int, max_insert: int = 1000) -> DataFrame:
     """src, dst, gap: both mirrored links of every pair (contig1, len1, pos1, rev1, contig2, len2, pos2, rev2).
@@ -56,21 +62,36 @@ def hop_candidates(gaps: DataFrame, relations: DataFrame, loops: int = 2) -> Dat
     """prev, next, node: both ends' neighbours, widened loops - 1 times, then what both reach.
 
     What a node reaches is one set for all gaps that it ends, in words of 64 neighbouring ids: a node reaches its neighbours and
-    what these reach in a step less."""
+    what these reach in a step less. Where a step has more than JOINED rows of these, and not far fewer than a dense graph's, the sets
+    are kept as bits inside tasks."""
+    gaps, steps = gaps.select("prev", "next").distinct(), persisted(relations.select("node", "other").where("node IS NOT NULL AND other IS NOT NULL").distinct(), "relations")
     bit = F.expr("shiftleft(1L, cast(other & 63L as int))")
-    first = relations.select("node", F.shiftright("other", 6).alias("word"), bit.alias("bits")).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    first = steps.select("node", F.shiftright("other", 6).alias("word"), bit.alias("bits")).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    if loops > 1 and (nodes := _dense(steps, first)):
+        return reached_by_both(gaps.where("prev IS NOT NULL AND next IS NOT NULL"), steps, loops, nodes)
     reach = first
     for _ in range(loops - 1):
-        step = relations.select("node", "other").distinct().join(reach.withColumnRenamed("node", "other"), "other").select("node", "word", "bits")
+        step = steps.join(reach.withColumnRenamed("node", "other"), "other").select("node", "word", "bits")
         reach = first.unionAll(step).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
     of = lambda end: reach.select(F.col("node").alias(end), "word", F.col("bits").alias(f"{end}_bits"))
-    both = gaps.select("prev", "next").distinct().join(of("prev"), "prev").join(of("next"), ["next", "word"])
+    both = gaps.join(of("prev"), "prev").join(of("next"), ["next", "word"])
     both = both.withColumn("bits", F.col("prev_bits").bitwiseAND(F.col("next_bits"))).where((F.col("bits") != 0) & F.lit(loops > 0))
     place = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1))
     found = both.select("prev", "next", "word", place.alias("place")).select("prev", "next", (F.col("word") * 64 + F.col("place")).alias("node"))
     return found.where((F.col("node") != F.col("prev")) & (F.col("node") != F.col("next")))
 
 
+def _dense(steps: DataFrame, first: DataFrame) -> int:
+    """How many nodes steps have, if sets of bits are to be kept; else 0."""
+    into = steps.groupBy(F.col("other").alias("node")).agg(F.count("*").alias("n"))
+    made = first.groupBy("node").agg(F.count("*").alias("words")).join(into, "node").agg(F.sum(F.col("n") * F.col("words"))).first()[0] or 0
+    if made <= JOINED:
+        return 0
+    size = steps.agg(F.count("*").alias("n")).first()["n"]
+    nodes = steps.select("node").unionAll(steps.select("other")).distinct().count()
+    return nodes if size * (nodes / 64) <= DEARER * made else 0
+
+
 def closure(candidates: DataFrame) -> DataFrame:
     """prev, next, node: both strands of the candidates and of the gap's ends."""
     named = candidates.select("prev", "next", "node").union(candidates.select("prev", "next", "prev")).union(candidates.select("prev", "next", "next"))

@@ -91,3 +91,25 @@ def test_strongest_is_kruskal():
     edges = [(int(u), int(v), float(s)) for u, v, s in zip(rng.integers(0, 30, 200), rng.integers(30, 60, 200), rng.integers(0, 5, 200), strict=True)]
     edges = list({e[:2]: e for e in edges}.values())
     assert list(zip(*(x.tolist() for x in g.strongest(*map(np.array, zip(*edges, strict=True)))), strict=True)) == g.kruskal(edges)
+
+
+@pytest.mark.parametrize("fewer", [0.0, 0.7])
+def test_rounds_go_over_open_components_only(spark, monkeypatch, fewer):
+    """Most texts share nothing; they are left out of the index, or out of its pairs, from the second round on."""
+    monkeypatch.setattr(tiles, "FEWER", fewer)
+    rows, least = made(3, 90) + [(1000 + i, f"x{i} y{i} z{i} w{i}") for i in range(300)], 0.02
+    blocks, asked = index(spark, rows, 25), []
+    pairs = spark.createDataFrame([(u, v, sim) for (u, v), sim in expected(rows, least).items()], "u long, v long, sim double")
+
+    class Seen(tiles.Forests):
+        def among(self, nodes):
+            edges = super().among(nodes)
+            asked.append((self.blocks.size, {x for r in self.blocks.rows.collect() for x in np.frombuffer(r["nodes"], np.int64).tolist()}))
+            return edges
+
+    got, want = g.order_by_forests(Seen(blocks, least), 0.5), g.order_contigs(pairs, 0.5)
+    for one, other in zip(got, want, strict=True):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    assert len(asked) > 1
+    if fewer:
+        assert len(asked[0][1]) == asked[0][0] < 150 and not any(x >= 1000 for _, nodes in asked for x in nodes)
